@@ -210,3 +210,17 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
     rings = rect_rings(table(spark, sf_dir, "rects"), "rect_id", "lower", "upper")
     return near_and_inside(table(spark, sf_dir, "landmarks"), "id", "x", "z", 0.25, rings)
+
+
+FOUND_SQL = """
+WITH l AS (SELECT id, arg_min(x, received_at) AS x, arg_min(z, received_at) AS z FROM landmarks
+ WHERE id IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL AND isfinite(x) AND isfinite(z) GROUP BY id),
+g AS (SELECT id, x, z, CAST(floor(x / 0.25) AS BIGINT) AS gx, CAST(floor(z / 0.25) AS BIGINT) AS gz FROM l),
+h AS (SELECT id, x, z, gx + dx AS gx, gz + dz AS gz FROM g, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dz)),
+r AS (SELECT DISTINCT rect_id, lower.x AS x0, lower.y AS z0, upper.x AS x1, upper.y AS z1 FROM rects WHERE rect_id IS NOT NULL)
+SELECT 'near' AS kind, a.id AS first_key, b.id AS second_key FROM g a JOIN h b ON a.gx = b.gx AND a.gz = b.gz AND a.id < b.id
+ WHERE (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 0.0625
+UNION ALL
+SELECT 'inside', rect_id, id FROM r JOIN l ON x >= x0 AND x <= x1 AND z >= z0 AND z <= z1
+ WHERE x0 IS NOT NULL AND z0 IS NOT NULL AND x1 IS NOT NULL AND z1 IS NOT NULL AND NOT isnan(x1) AND NOT isnan(z1)
+"""

@@ -74,14 +74,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def first_delivery(df: DataFrame, key: str, *columns: str, arrival: str = "received_at") -> DataFrame:
     """One row per `key`: its `columns` as first delivered, and `arrival` as its earliest.
 
-    Rows without a key are dropped: they name nothing.  Rows that arrived at the same time (or
-    carry no arrival) are ordered by their values, so the choice is the same on every run.  The
-    aggregate combines before the shuffle, so a key with a third of all rows costs no more than
-    another.
+    Rows without a key are dropped: they name nothing.  A row without an arrival counts as the
+    last.  Deliveries at the same instant are taken to be equal, as copies are; should they differ,
+    each column is that of one of them.  Hash aggregation combines before the shuffle, so a key with
+    a third of all rows costs no more than another.
     """
-    order = F.struct(F.col(arrival).isNull().alias("_n"), F.col(arrival).alias("_a"), *[F.col(f"`{c}`") for c in columns])
-    one = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(key)).agg(F.min(order).alias("_first"))
-    return one.select(F.col(f"`{key}`"), F.col("_first._a").alias(arrival), *[F.col(f"_first.`{c}`").alias(c) for c in columns])
+    last = F.lit("9999-12-31 00:00:00").cast(df.schema[arrival].dataType)
+    order = F.coalesce(F.col(arrival), last)
+    one = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(key))
+    return one.agg(F.min(arrival).alias(arrival), *[F.min_by(F.col(f"`{c}`"), order).alias(c) for c in columns])
 
 
 def arrow_groups(spark: SparkSession, rows: int, per_group: int) -> int:
