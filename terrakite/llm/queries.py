@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrakite.llm import encode, nearest_time, packing, similar_vectors
+from terrakite.llm import encode, nearest_time, packing, similar_vectors, stuffed_pages
 
 QUERIES = {
     "p2_found": similar_vectors.p2_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p6_ids": encode.p6_ids,
     "p7_packing": packing.p7_packing,
     "p7_fill": packing.p7_fill,
+    "p8_found": stuffed_pages.p8_found,
 }
 
 SQL = {"p4_found": nearest_time.FOUND_SQL}
