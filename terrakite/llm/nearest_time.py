@@ -53,7 +53,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, span_tole
     """
     span = max(1, tolerance) * span_tolerances
     ok = "key IS NOT NULL AND entity IS NOT NULL AND t IS NOT NULL"
-    at = lambda c: F.expr(f"({c} - pmod({c}, {span})) div {span}")  # noqa: E731  (exact for any 64-bit time)
+    at = lambda c: F.expr(f"(({c}) div {span}L) - IF((({c}) % {span}L) < 0, 1L, 0L)")  # noqa: E731  (floor division, exact for any 64-bit time)
     probe = left.where(ok).select("entity", at("t").alias("span"), "t", F.col("key").alias("k"), F.lit(True).alias("probe"))
     one = right.where(ok).groupBy("entity", "t").agg(F.min("key").alias("k"))
     reach = F.array_distinct(F.array_compact(F.array(at(f"try_subtract(t, {tolerance}L)"), at("t"), at(f"try_add(t, {tolerance}L)"))))

@@ -165,11 +165,11 @@ def nodes(sorted_codes: np.ndarray, queries: np.ndarray, least: int) -> tuple[np
     return lo, hi
 
 
-def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, chunk: int = 1024):
+def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, cells: int = 12_000_000):
     """(query, id, squared distance) of the up to k nearest within `radius`; all sums are integers below 2**24, so float32 is exact."""
     l32, q32 = landmarks.astype(np.float32), q.astype(np.float32)
     ln, qn, most = (l32 * l32).sum(1), (q32 * q32).sum(1), np.float32(math.floor(radius * radius))
-    out = []
+    out, chunk = [], max(32, cells // max(len(l32), 1))
     for s in range(0, len(q), chunk):
         g = q32[s : s + chunk] @ l32.T
         g *= -2
@@ -183,13 +183,26 @@ def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, rad
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def _once(at: np.ndarray, owner: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The rows `at` without those that repeat an owner and its vector: copies must not take the places of others."""
+    at = at[np.argsort(owner[at], kind="stable")]
+    again = np.flatnonzero(owner[at][1:] == owner[at][:-1]) + 1
+    drop, seen = [], {}
+    for i in again:
+        of = seen.setdefault(int(owner[at[i]]), {v[at[i - 1]].tobytes()})
+        if (this := v[at[i]].tobytes()) in of:
+            drop.append(i)
+        of.add(this)
+    return np.delete(at, drop)
+
+
 def _match(k: int, radius: float, least: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         of_landmark = t.column("landmark").to_numpy()
         owner, row_no, code = (t.column(c).to_numpy() for c in ("owner", "row_no", "code"))
         v = _vectors(t.column("vec"))
-        l_at, q_at = np.flatnonzero(of_landmark), np.flatnonzero(~of_landmark)
+        l_at, q_at = _once(np.flatnonzero(of_landmark), owner, v), np.flatnonzero(~of_landmark)
         l_at = l_at[np.argsort(code[l_at], kind="stable")]
         lv, qv = v[l_at], v[q_at]
         ids = owner[l_at]
@@ -226,7 +239,7 @@ def similar_vectors(queries: DataFrame, landmarks: DataFrame, k: int = 8, radius
     forest = fit_forest(ls, qs[: 2 * SAMPLE_ROWS], n_l, query_rows or round(n_q * len(qs) / blobs))
     spread = lm.mapInArrow(_spread_landmarks(forest, k), _ROW).unionAll(q.mapInArrow(_explode_queries(forest), _ROW))
     found = spread.groupBy("part").applyInArrow(_match(k, radius, min_candidates), "owner bigint, row_no bigint, id bigint, d2 bigint")
-    once = found.distinct()
+    once = found.groupBy("owner", "row_no", "id").agg(F.min("d2").alias("d2"))
     rank = F.row_number().over(Window.partitionBy("owner", "row_no").orderBy("d2", "id"))
     return once.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
