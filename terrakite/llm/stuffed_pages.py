@@ -119,11 +119,15 @@ class Structure:
         return size["string"] / total, size["data"] / total
 
 
+_FAR = ("far_slope", "far_residual", "far_divergence")
+_FOUND = "doc_id bigint, strings double, far_slope double, far_residual double, far_divergence double"
+
+
 def _structures(batches):
     of = Structure()
     for b in batches:
         both = np.array([of.shares(t) for t in b.column(1).to_pylist()]).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "strings", "data"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(both[:, 0]), *(b.column(c) for c in _FAR)], ["doc_id", "strings", *_FAR])
 
 
 def language(lang: Column) -> Column:
@@ -148,7 +152,7 @@ def common_words(docs: DataFrame) -> DataFrame:
     band = F.lit(len(BANDS) - 1)
     for i, last in reversed(list(enumerate(BANDS))):
         band = F.when(F.col("r") <= last, F.lit(i)).otherwise(band)
-    return top.select(F.col("lang").alias("common_lang"), "word", band.alias("band"))
+    return top.select(F.col("lang").alias("common_lang"), F.xxhash64("word").alias("word"), band.alias("band"))
 
 
 def _by_page(docs: DataFrame) -> DataFrame:
@@ -165,12 +169,12 @@ def curves(docs: DataFrame) -> DataFrame:
     """
     common = F.broadcast(staged(common_words(docs), "common"))
     pages = _by_page(docs)
-    n = pages.select("doc_id", "tag", F.explode(_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("tag").alias("tag"))
-    page = Window.partitionBy("doc_id")
+    n = pages.select("doc_id", "tag", F.explode(_words(F.col("text"))).alias("word")).groupBy("doc_id", "tag", F.xxhash64("word").alias("word")).agg(F.count("*").alias("n"))
+    page = Window.partitionBy("doc_id", "tag")
     ranked = n.withColumn("rank", F.row_number().over(page.orderBy(F.desc("n"), "word")))
     x, y = F.log("rank"), F.log("n")
-    fit = ranked.groupBy("doc_id").agg(
-        F.min("tag").alias("tag"), F.sum("n").alias("words"), F.count("*").alias("kinds"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
+    fit = ranked.groupBy("doc_id", "tag").agg(
+        F.sum("n").alias("words"), F.count("*").alias("kinds"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
     )
     share = n.join(common, "word").groupBy("doc_id", "common_lang").agg(F.sum("n").alias("known"), *[F.sum(F.when(F.col("band") == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(len(BANDS))])
     best = share.groupBy("doc_id").agg(F.max_by(F.struct("common_lang", *[f"b{i}" for i in range(len(BANDS))]), F.struct("known", "common_lang")).alias("best"))
@@ -206,18 +210,17 @@ def suspects(curve: DataFrame) -> DataFrame:
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, strings, far_slope, far_residual, far_divergence) of keyword-stuffed and link-list pages.
+    """(doc_id, strings, far_slope, far_residual, far_divergence) of keyword-stuffed and link-list pages.
 
     `docs`: doc_id, text, lang; other columns are ignored.  Null, empty and blank texts and pages of
     fewer than LEAST_WORDS words are none; a null or unknown language is compared within `und`.  Rows
     with a null doc_id are left out; rows that repeat a doc_id count as one page of all their words.
     """
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang")
-    shares = _by_page(some).select("doc_id", "text").mapInArrow(_structures, "doc_id bigint, strings double, data double").where(F.col("strings") >= MOSTLY)
-    shares = shares.groupBy("doc_id").agg(F.max("strings").alias("strings"))
-    pages = staged(curves(some).join(shares, "doc_id", "left"), "curves")
-    mostly = pages.where("strings IS NOT NULL").select("doc_id", "strings")
-    return suspects(pages).join(mostly, "doc_id").select("doc_id", "lang", "strings", "far_slope", "far_residual", "far_divergence")
+    pages = staged(curves(some), "curves")
+    texts = some.select("doc_id", "text").join(suspects(pages), "doc_id")
+    shares = texts.select("doc_id", "text", *_FAR).mapInArrow(_structures, _FOUND)
+    return shares.where(F.col("strings") >= MOSTLY).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("strings", *_FAR)])
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
