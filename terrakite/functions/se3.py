@@ -29,13 +29,27 @@ def compose(r: list[list[Column]], t: tuple[Column, ...]) -> Column:
     return matrix([[*r[i], t[i]] for i in range(3)] + [[zero, zero, zero, one]])
 
 
+def bound(f, **parts: Column) -> Column:
+    """f of the parts, each of them evaluated once: a matrix has 16 cells, and nested products of plain expressions would repeat their inputs 16-fold a level."""
+    row = F.struct(*[c.alias(n) for n, c in parts.items()])
+    return F.get(F.transform(F.array(row), lambda s: f(**{n: s[n] for n in parts})), F.lit(0))
+
+
 def multiply(a: Column, b: Column, size: int = 4) -> Column:
+    return bound(lambda a, b: _multiply(a, b, size), a=a, b=b)
+
+
+def _multiply(a: Column, b: Column, size: int) -> Column:
     cell = lambda r, c: sum((at(a, r, k, size) * at(b, k, c, size) for k in range(1, size)), at(a, r, 0, size) * at(b, 0, c, size))
     return matrix([[cell(r, c) for c in range(size)] for r in range(size)])
 
 
 def invert_rigid(m: Column) -> Column:
     """Inverse of a rotation and translation."""
+    return bound(_invert, m=m)
+
+
+def _invert(m: Column) -> Column:
     r, t = rotation(m), position(m)
     rt = [[r[c][k] for c in range(3)] for k in range(3)]
     return compose(rt, tuple(-(rt[i][0] * t[0] + rt[i][1] * t[1] + rt[i][2] * t[2]) for i in range(3)))
@@ -47,14 +61,17 @@ def apply_point(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Col
 
 def flip_camera(m: Column) -> Column:
     """Device pose (y up, z backward) to optimiser pose: columns 1 and 2 negated, then inverted."""
-    sign = [1, -1, -1, 1]
-    return invert_rigid(matrix([[at(m, r, c) * sign[c] for c in range(4)] for r in range(4)]))
+    return invert_rigid(bound(_negate_columns, m=m))
 
 
 def unflip_camera(m: Column) -> Column:
     """The inverse of flip_camera."""
-    inv, sign = invert_rigid(m), [1, -1, -1, 1]
-    return matrix([[at(inv, r, c) * sign[c] for c in range(4)] for r in range(4)])
+    return bound(_negate_columns, m=invert_rigid(m))
+
+
+def _negate_columns(m: Column) -> Column:
+    sign = [1, -1, -1, 1]
+    return matrix([[at(m, r, c) * sign[c] for c in range(4)] for r in range(4)])
 
 
 def rotation_from_axis_angle(x: Column, y: Column, z: Column) -> list[list[Column]]:
