@@ -71,8 +71,8 @@ def match(events: DataFrame) -> DataFrame:
     return events.where("session_id IS NOT NULL").groupBy("session_id").applyInPandas(one, RESULT)
 
 
-def match_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """match over a stream."""
+def match_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """match over a stream; with `idle_ms`, a session that is silent so long in processing time is forgotten (the query then also runs batches without data)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
@@ -82,7 +82,8 @@ def match_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         m = pickle.loads(state.get[0]) if state.exists else Matcher()
         out = _run(m, key[0], pd.concat(list(frames)))
         state.update((pickle.dumps(m),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.where("session_id IS NOT NULL").groupBy("session_id").applyInPandasWithState(step, RESULT, "matcher BINARY", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.where("session_id IS NOT NULL").groupBy("session_id").applyInPandasWithState(step, RESULT, "matcher BINARY", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

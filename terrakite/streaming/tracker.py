@@ -145,8 +145,8 @@ def track(events: DataFrame, config: TrackerConfig = TrackerConfig(), unit: floa
     return events.where("device IS NOT NULL").groupBy("device").applyInPandas(one, RESULT)
 
 
-def track_stream(events: DataFrame, config: TrackerConfig = TrackerConfig(), unit: float = 1e-6, idle_ms: int = 3_600_000) -> DataFrame:
-    """track over a stream of EVENT rows; a device that is silent for `idle_ms` of processing time is forgotten."""
+def track_stream(events: DataFrame, config: TrackerConfig = TrackerConfig(), unit: float = 1e-6, idle_ms: int | None = None) -> DataFrame:
+    """track over a stream of EVENT rows; with `idle_ms`, a device that is silent so long in processing time is forgotten (the query then also runs batches without data)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
@@ -156,7 +156,8 @@ def track_stream(events: DataFrame, config: TrackerConfig = TrackerConfig(), uni
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(config)
         out = _run(tracker, pd.concat(list(frames)), unit)
         state.update((pickle.dumps(tracker),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.where("device IS NOT NULL").groupBy("device").applyInPandasWithState(step, RESULT, "tracker BINARY", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.where("device IS NOT NULL").groupBy("device").applyInPandasWithState(step, RESULT, "tracker BINARY", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
