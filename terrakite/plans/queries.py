@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrakite.operators import near, orphans, spikes
-from terrakite.plans import map_queries
+from terrakite.plans import state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,11 @@ QUERIES: dict[str, Query] = {
     "p3_found": spikes.p3_found,
     "p5_found": orphans.p5_found,
     "p5_report": orphans.p5_report,
-} | map_queries.QUERIES
+} | state_queries.QUERIES
 
 #: p1_found in SQL: an equi-join over cells of the radius; p3_found has no SQL form and is tested by brute force.
 SQL: dict[str, str] = {
     "p1_found": near.FOUND_SQL,
     "p5_found": orphans.FOUND_SQL,
     "p5_report": orphans.REPORT_SQL,
-} | map_queries.SQL
+} | state_queries.SQL
