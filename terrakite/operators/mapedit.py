@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrakite.functions import se3
+from terrakite.plans.stage import numbered
 
 
 def create_anchors(anchors: DataFrame, new: DataFrame, order: str, key: str = "id") -> DataFrame:
     """`new` (all columns of `anchors` but the key, and `order`) added under the ids that follow the largest, from 0 in an empty table."""
     top = F.broadcast(anchors.agg(F.coalesce(F.max(key), F.lit(-1)).alias("_top")))
-    given = new.crossJoin(top).withColumn(key, F.col("_top") + F.row_number().over(Window.orderBy(order)))
+    given = numbered(new, "_n", order).crossJoin(top).withColumn(key, F.col("_top") + F.col("_n"))
     return anchors.unionByName(given.select(*anchors.columns))
 
 

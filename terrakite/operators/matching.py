@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from terrakite.plans.stage import numbered
 
 MAX_DISTANCE = 210.0
 RATIO = 0.99
@@ -84,16 +84,17 @@ def match_order(split: DataFrame, sizes: DataFrame, query_key: str, train_key: s
     j = split.join(sizes.select(query_key, F.col("size").alias("_size")), query_key)
     large = F.col("_size") > LARGE_SIZE
     order = [
-        F.col("passed").desc(),
-        F.when(F.col("passed"), F.col("_d1") / F.when(F.col("_d2") > 0, F.col("_d2"))).asc_nulls_last(),
-        F.when(~F.col("passed"), large.cast("int")).desc(),
+        (~F.col("passed")).cast("int"),
+        F.coalesce(F.when(F.col("passed"), F.col("_d1") / F.when(F.col("_d2") > 0, F.col("_d2"))), F.lit(float("inf"))),
+        F.when(~F.col("passed"), (~large).cast("int")),
         F.when(~F.col("passed") & large, F.col("distance")),
         F.when(~F.col("passed") & ~large, -F.col("_size")),
         F.col(query_key),
         F.col(train_key),
     ]
-    w = (Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return j.withColumn("position", F.row_number().over(w)).drop("_d1", "_d2", "_size")
+    if per is None:
+        return numbered(j, "position", *order).drop("_d1", "_d2", "_size")
+    return j.withColumn("position", F.row_number().over(Window.partitionBy(per).orderBy(*order))).drop("_d1", "_d2", "_size")
 
 
 def top_features(keypoints: DataFrame, image: str, size: str = "size", index: str | tuple[str, ...] = "seq", most: int = MAX_FEATURES, least_size: float | None = None) -> DataFrame:
@@ -113,7 +114,7 @@ def match_or_create(features: DataFrame, matches: DataFrame, landmarks: DataFram
     linked = features.join(matches.select(query_key, match_key), query_key, "inner").select(query_key, F.col(match_key).alias("landmark_id"), F.lit(False).alias("created"))
     new = features.join(matches.select(query_key), query_key, "left_anti")
     top = F.broadcast(landmarks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
-    given = new.crossJoin(top).withColumn("landmark_id", F.col("_top") + F.row_number().over(Window.orderBy(query_key)))
+    given = numbered(new, "_n", query_key).crossJoin(top).withColumn("landmark_id", F.col("_top") + F.col("_n"))
     links = linked.unionByName(given.select(query_key, "landmark_id", F.lit(True).alias("created")))
     return links, landmarks.select("id", "x", "y", "z").unionByName(given.select(F.col("landmark_id").alias("id"), "x", "y", "z"))
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -105,6 +105,20 @@ def first_delivery(df: DataFrame, key: str, *columns: str, arrival: str = "recei
     return one.agg(F.min(arrival).alias(arrival), *[F.min_by(F.col(f"`{c}`"), order).alias(c) for c in columns])
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """`df` with a column `name`: 1, 2, 3 ... in the order given (columns or expressions, which should leave no ties).
+
+    Rows are cut into ranges of the order and numbered inside a range, with the counts of the ranges
+    before it added, so no task sorts them all.
+    """
+    keys = {f"_k{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    cut = staged(df.withColumns(keys).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(ends), F.lit(0))).drop("_c")
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return cut.withColumn("_inside", n).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_part", *keys)
+
+
 def arrow_groups(spark: SparkSession, rows: int, per_group: int) -> int:
     """How many Arrow groups of about `per_group` rows hold `rows`, at least one a core."""
     return max(1, spark.sparkContext.defaultParallelism, -(-rows // per_group))

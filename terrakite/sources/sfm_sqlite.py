@@ -124,12 +124,12 @@ def create_database(frames: DataFrame, path: str) -> None:
 
 def missing_pairs(frames: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
     """(pair_id, first, second, relative_pose): consecutive frames whose pair is not among `stored` (pair_id)."""
-    from pyspark.sql import Window
-
     from terrakite.functions import se3
+    from terrakite.plans.stage import numbered
 
-    nxt = F.lead(F.struct("id", "extrinsics")).over(Window.orderBy(order))
-    p = frames.select("id", order, "extrinsics", nxt.alias("n")).where("n IS NOT NULL")
+    n = numbered(frames.select("id", order, "extrinsics") if order != "id" else frames.select("id", "extrinsics"), "_n", order)
+    nxt = n.select((F.col("_n") - 1).alias("_n"), F.struct("id", "extrinsics").alias("n"))
+    p = n.join(nxt, "_n")
     a, b = F.col("id") + 1, F.col("n.id") + 1
     pairs = p.select(camera.pair_id(a, b).alias("pair_id"), a.alias("first"), b.alias("second"), se3.relative_pose(se3.flip_camera(F.col("extrinsics")), se3.flip_camera(F.col("n.extrinsics"))).alias("relative_pose"))
     return pairs.join(stored.select("pair_id"), "pair_id", "left_anti")

@@ -1,7 +1,8 @@
 """Matching of location fixes to positions as both arrive: the online twin of operators.asof.interpolate.
 
 Early fixes are dropped and late ones wait, as far as the kept positions reach; so results depend
-on the order of arrival, which is the order of `seq`.
+on the order of arrival, which is the order of `seq`, and a session is handled by one task; for
+history at rest use operators.asof.interpolate, which has neither limit.
 """
 
 from __future__ import annotations

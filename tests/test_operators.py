@@ -173,3 +173,14 @@ def test_landmarks_from_a_model(spark):
     r = lm.collect()
     assert [(x.id, x.x, x.y, x.z, x.sightings, bytes(x.desc)) for x in r] == [(1, 5, -6, -7, 2, b"x" * 128)]
     assert sorted((o.landmark_id, o.frame_id, round(o.depth, 4)) for o in obs.collect()) == [(1, 0, 10.4881), (1, 1, 10.4881)]
+
+
+def test_numbering_without_one_big_sort(spark):
+    from terrakite.plans.stage import numbered
+
+    rng = random.Random(5)
+    v = [(rng.randint(0, 9), i) for i in range(200)]
+    got = numbered(spark.createDataFrame(v, "a int, b int").repartition(7), "n", -F.col("a"), "b")
+    assert [(r.a, r.b) for r in sorted(got.collect(), key=lambda r: r.n)] == sorted(v, key=lambda x: (-x[0], x[1]))
+    assert sorted(r.n for r in got.collect()) == list(range(1, 201))
+    assert numbered(spark.createDataFrame([], "a int"), "n", "a").collect() == []
