@@ -78,8 +78,8 @@ def _events(spark, d) -> DataFrame:
     inl = "array<struct<x:double,y:double,z:double,u:double,v:double,size:double,response:double,octave:int>>"
     row = lambda kind, seq, pose: [F.col("session_id").alias("device"), seq.cast("long").alias("seq"), F.col("t"), F.lit(kind).alias("kind"), pose.alias("pose"), none("bigint").alias("captured"), F.lit(60).alias("total_matches"), none("array<double>").alias("intrinsics"), none(inl).alias("inliers")]
     vio = m.select(*row("vio", 2 * F.col("n"), _eye(0.1 * F.col("n"), F.lit(0.0), F.lit(0.0))))
-    lar = m.where("n % 3 = 0").select(*row("lar", 2 * F.col("n") + 1, _eye(0.1 * F.col("n") + F.col("z") / 1000, F.lit(0.0), F.lit(1.0))))
-    return vio.unionByName(lar)
+    located = m.where("n % 3 = 0").select(*row("located", 2 * F.col("n") + 1, _eye(0.1 * F.col("n") + F.col("z") / 1000, F.lit(0.0), F.lit(1.0))))
+    return vio.unionByName(located)
 
 
 def _fusion(name: str):

@@ -30,7 +30,7 @@ BAD_STREAK, BAD_CONFIDENCE = 3, 0.4
 class Tracker:
     """The state of one device.
 
-    vio: a device pose; every one after the first also predicts.  lar: a localization, carried
+    vio: a device pose; every one after the first also predicts.  located: a localization, carried
     forward by the device's motion since its picture was taken, then tested and fused.  reset: forget
     everything but the count of rejections.
     """
@@ -61,7 +61,7 @@ class Tracker:
             self.filter.predict(motion if se3.valid_np(motion) else np.eye(4), dt, self.config)
         return True
 
-    def lar(self, m: Measurement, captured: int | None) -> dict:
+    def located(self, m: Measurement, captured: int | None) -> dict:
         out = {"success": False, "outlier": False, "restarted": False}
         if not se3.valid_np(m.pose):
             return out
@@ -98,7 +98,7 @@ class Tracker:
         pose = _matrix(e.get("pose"))
         if e["kind"] == "vio" and pose is not None:
             out["success"] = self.vio(int(e["t"]), pose, unit)
-        elif e["kind"] == "lar" and pose is not None:
+        elif e["kind"] == "located" and pose is not None:
             k = e.get("intrinsics")
             k = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0] if k is None or len(k) < 9 else k
             rows = e.get("inliers")
@@ -106,7 +106,7 @@ class Tracker:
             total = e.get("total_matches")
             m = Measurement(pose, inl, int(total) if total is not None and total == total else len(inl), (float(k[0]), float(k[4])), (float(k[6]), float(k[7])), float(e["t"]) * unit)
             captured = e.get("captured")
-            out |= self.lar(m, None if captured is None or captured != captured else int(captured))
+            out |= self.located(m, None if captured is None or captured != captured else int(captured))
         elif e["kind"] == "reset":
             self.filter = make_filter(self.config.filter_strategy)
             self._forget()
@@ -114,7 +114,7 @@ class Tracker:
         ready = self.filter.ready
         out |= {
             "streak": self.streak,
-            "map_to_device": self.transform.ravel(order="F").tolist() if e["kind"] == "lar" else (self.now @ se3.inverse_np(self.filter.pose())).ravel(order="F").tolist() if ready and self.now is not None else None,
+            "map_to_device": self.transform.ravel(order="F").tolist() if e["kind"] == "located" else (self.now @ se3.inverse_np(self.filter.pose())).ravel(order="F").tolist() if ready and self.now is not None else None,
             "pose": self.filter.pose().ravel(order="F").tolist() if ready else None,
             "uncertainty": float(self.filter.uncertainty()) if ready else float("inf"),
         }

@@ -37,7 +37,7 @@ def events(n=12, device=1, bad=()):
             pose = MAP_FROM_DEVICE @ device_pose(i)
             if i in bad:
                 pose = se3.rigid_np(np.eye(3), [50, 0, 0]) @ pose
-            rows.append((device, 2 * i + 1, t, "lar", flat(pose), t, 60, K, seen(MAP_FROM_DEVICE @ device_pose(i))))
+            rows.append((device, 2 * i + 1, t, "located", flat(pose), t, 60, K, seen(MAP_FROM_DEVICE @ device_pose(i))))
     return rows
 
 
@@ -52,7 +52,7 @@ def by_seq(df):
 @pytest.mark.parametrize("name", sorted(FILTERS))
 def test_every_filter_finds_the_transform(spark, name):
     config = TrackerConfig(filter_strategy=name)
-    junk = [(1, 90, None, "lar", None, None, None, None, None), (None, 1, 1, "vio", flat(np.eye(4)), None, None, None, None), (1, 91, 5, "other", None, None, None, None, None), (1, 92, 6, "vio", [1.0] * 16, None, None, None, None)]
+    junk = [(1, 90, None, "located", None, None, None, None, None), (None, 1, 1, "vio", flat(np.eye(4)), None, None, None, None), (1, 91, 5, "other", None, None, None, None, None), (1, 92, 6, "vio", [1.0] * 16, None, None, None, None)]
     got = by_seq(tracker.track(frame(spark, events() + junk), config))
     last = got[1, 23]
     want = se3.inverse_np(MAP_FROM_DEVICE)
@@ -72,7 +72,7 @@ def test_outliers_and_restart(spark):
 
 def test_late_measurements_are_carried_forward(spark):
     rows = [r for r in events(9) if r[3] == "vio"]
-    rows.append((1, 99, 800_000, "lar", flat(MAP_FROM_DEVICE @ device_pose(3)), 300_000, 60, K, seen(MAP_FROM_DEVICE @ device_pose(3))))
+    rows.append((1, 99, 800_000, "located", flat(MAP_FROM_DEVICE @ device_pose(3)), 300_000, 60, K, seen(MAP_FROM_DEVICE @ device_pose(3))))
     r = by_seq(tracker.track(frame(spark, rows), TrackerConfig()))[1, 99]
     assert np.array(r.map_to_device).reshape(4, 4, order="F") == pytest.approx(se3.inverse_np(MAP_FROM_DEVICE), abs=1e-9)
 
