@@ -167,23 +167,27 @@ def curves(docs: DataFrame) -> DataFrame:
     page's shares of those words by band.  Texts are shuffled by doc_id once; all that follows for
     a page stays where it is.
     """
-    common = F.broadcast(staged(common_words(docs), "common"))
+    common = staged(common_words(docs), "common").groupBy("word").agg(F.collect_list(F.struct("common_lang", "band")).alias("common"))
     pages = _by_page(docs)
     n = pages.select("doc_id", "tag", F.explode(_words(F.col("text"))).alias("word")).groupBy("doc_id", "tag", F.xxhash64("word").alias("word")).agg(F.count("*").alias("n"))
-    page = Window.partitionBy("doc_id", "tag")
-    ranked = n.withColumn("rank", F.row_number().over(page.orderBy(F.desc("n"), "word")))
-    x, y = F.log("rank"), F.log("n")
-    fit = ranked.groupBy("doc_id", "tag").agg(
-        F.sum("n").alias("words"), F.count("*").alias("kinds"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-    )
-    share = n.join(common, "word").groupBy("doc_id", "common_lang").agg(F.sum("n").alias("known"), *[F.sum(F.when(F.col("band") == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(len(BANDS))])
-    best = share.groupBy("doc_id").agg(F.max_by(F.struct("common_lang", *[f"b{i}" for i in range(len(BANDS))]), F.struct("known", "common_lang")).alias("best"))
-    both = fit.where(F.col("words") >= LEAST_WORDS).join(best, "doc_id", "left")
-    slope = F.coalesce("slope", F.lit(0.0))
-    left = F.greatest(F.col("syy") - slope * F.coalesce("sxy", F.lit(0.0)), F.lit(0.0))
+    ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("n"), "word")))
+    # a word common in several languages is a row for each of them; the first also carries its point of the curve
+    points = ranked.join(F.broadcast(common), "word", "left").select("doc_id", "tag", "n", F.log("rank").alias("x"), F.log("n").alias("y"), F.posexplode_outer("common").alias("pos", "c"))
+    once = F.coalesce("pos", F.lit(0)) == 0
+    add = lambda c: F.sum(F.when(once, c).otherwise(0.0))
+    x, y = F.col("x"), F.col("y")
+    sums = {"kinds": add(F.lit(1.0)), "words": add(F.col("n")), "sx": add(x), "sy": add(y), "sxx": add(x * x), "sxy": add(x * y), "syy": add(y * y)}
+    bands = {f"b{i}": F.sum(F.when(F.col("c.band") == i, F.col("n")).otherwise(0)) for i in range(len(BANDS))}
+    part = points.groupBy("doc_id", "tag", F.col("c.common_lang").alias("common_lang")).agg(*[v.alias(k) for k, v in (sums | bands).items()])
+    known = sum((F.col(b) for b in list(bands)[1:]), F.col("b0"))
+    best = F.max_by(F.when(F.col("common_lang").isNotNull(), F.struct("common_lang", *bands)), F.when(F.col("common_lang").isNotNull(), F.struct(known.alias("known"), "common_lang")))
+    both = part.groupBy("doc_id", "tag").agg(*[F.sum(k).alias(k) for k in sums], best.alias("best")).where(F.col("words") >= LEAST_WORDS)
+    cxx, cxy, cyy = (F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("kinds") for a, b in ("xx", "xy", "yy"))
+    slope = F.when(cxx > 1e-12, cxy / F.when(cxx > 1e-12, cxx)).otherwise(0.0)
+    left = F.greatest(cyy - slope * cxy, F.lit(0.0))
     return both.select(
-        "doc_id", F.coalesce("best.common_lang", "tag").alias("lang"), "words", F.floor(F.log2("words")).cast("int").alias("size_bin"), slope.alias("slope"),
-        F.coalesce(F.sqrt(left / F.col("kinds")), F.lit(0.0)).alias("residual"), *[(F.coalesce(f"best.b{i}", F.lit(0)) / F.col("words")).alias(f"b{i}") for i in range(len(BANDS))],
+        "doc_id", F.coalesce("best.common_lang", "tag").alias("lang"), F.col("words").cast("long").alias("words"), F.floor(F.log2("words")).cast("int").alias("size_bin"), slope.alias("slope"),
+        F.sqrt(left / F.col("kinds")).alias("residual"), *[(F.coalesce(f"best.{b}", F.lit(0)) / F.col("words")).alias(b) for b in bands],
     )
 
 
