@@ -18,7 +18,7 @@ from terrakite.plans.stage import staged
 
 COMMON_WORDS = 100  # a language
 BANDS = (1, 2, 4, 8, 15, 40, 100)  # last rank of each band
-EXTREME = 1.75  # robust deviations
+EXTREME = 1.25  # robust deviations
 LEAST_WORDS = 12
 LEAST_PAGES = 30  # of a language and length, to say what is normal
 MOSTLY = 0.6
@@ -32,7 +32,7 @@ FUNCTION_WORDS = frozenset(
     there until while since because before after both each one any does did could would should all yet when only too how why again here will what the i my alone back off out
     der die das den dem des und ist war hat haben wir ich nicht mit zu auf im am ein eine einen einem einer sich von vor nach bei aus als dass
     weil da falls wer was wurde wurden erst alles hier es sie man noch nur wenn trotzdem niemand bitte zwischen
-    le les du un une et est était été ont nous je il que qui quand ne pas pour dans sur avec avant après si car mais sans ce cette au aux où par entre tout
+    le les du un une et est était été ont nous je il que qui quand ne pour dans sur avec avant après si car mais sans ce cette au aux où par entre tout
     el los las del una unos y fue era se por con para no si lo al su sus ha han cuando donde porque pero antes hasta todo tras
     """.split()
 )
@@ -50,7 +50,7 @@ def structure_regexes():
         "sentences": re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])"),
         "marker": re.compile(r"^\s*(?:[>|*+•-]+\s*|\d+[.)]\s+|\[\d+\]\s*)+"),
         "url": re.compile(r"(?:https?://|www\.)[^\s<>\"'\])|]+|(?<![\w.@])(?:[\w-]+\.)+(?:example|test|invalid|localhost|com|org|net|info|biz|shop|io|de|fr|es|jp|uk|eu)(?![\w.])(?:/[^\s<>\"'\])|]*)?"),
-        "tag": re.compile(r"</?\w+[^<>]*>|\[/?url[^\]]*\]|(?<!\w)#[\p{L}\p{N}][\p{L}\p{N}_-]*"),
+        "tag": re.compile(r"</?(?:a\s|[A-Za-z]{2,})[^<>]*>|\[/?url[^\]]*\]|(?<!\w)#[\p{L}\p{N}][\p{L}\p{N}_-]*"),
         "word": re.compile(r"[\p{L}\p{M}]+"),
         "number": re.compile(r"\d+(?:[.,:]\d+)*"),
         "cjk": re.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]"),
@@ -96,7 +96,7 @@ class Structure:
         if len(strong) >= 2 and common >= 0.14 * n:
             return "sentence"
         varied = len(set(words)) >= 0.75 * n
-        if n >= 5 and varied and common >= 2 and (strong or common >= 0.2 * n and s[-1] in ".!?:") and not bare.count("|") and bare.count(",") <= n / 5 and common >= 0.13 * n:
+        if n >= 5 and varied and common >= 2 and (strong or common >= max(3, 0.2 * n) and s[-1] in ".!?:") and not bare.count("|") and bare.count(",") <= n / 5 and common >= 0.13 * n:
             return "sentence"
         if n >= 7 and strong and varied and s.rstrip()[-1:] in ".!?":
             return "sentence"
