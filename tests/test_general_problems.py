@@ -100,6 +100,8 @@ def test_spikes(spark, chunk):
         by[k][3][0] += 0.001  # too long to be a spike
     by[10_260][3][2] += 30; want[10_260] = "spike"  # noqa: E702
     by[10_270][4] = [60.0, 60.0, 1.0]; want[10_270] = "spike"  # noqa: E702
+    for k in range(10_280, 10_285):
+        by[k][4] = [60.0, 60.0, 1.0]  # too long to be a spike
     for k in range(10_356, 10_364):
         by[k][3] = by[10_355][3]; want[k] = "stuck"  # noqa: E702
     for k in range(10_401, 10_405):
