@@ -1,15 +1,17 @@
 """Keyword-stuffed and link-list pages.
 
+A page is reported if most of its text is strung-together keywords, links, menus or tags, told apart
+from sentences, logs, tables and code segment by segment.  Every page goes through this check, and
+nothing in it depends on other pages, so stuffed pages cannot hide each other however many there are.
+
 Each page's words, ranked by frequency, give a curve; a straight line through log frequency over
 log rank, fitted with SQL windows, gives its slope and residual, and the words that are common in the
-page's language give its divergence from prose.  A page is suspect if one of the three is extreme for
-its language and length.  A suspect is reported if most of its text is strung-together keywords,
-links, menus or tags, told apart from sentences, logs, tables and code segment by segment.
+page's language give its divergence from prose.  How far these three are from those of the pages
+that are not reported is told of each page that is; it decides nothing.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,7 @@ from terrakite.plans.stage import staged
 
 COMMON_WORDS = 100  # a language
 BANDS = (1, 2, 4, 8, 15, 40, 100)  # last rank of each band
-EXTREME = 1.25  # robust deviations
 LEAST_WORDS = 12
-LEAST_PAGES = 30  # of a language and length, to say what is normal
 MOSTLY = 0.6
 _WORD = r"[\p{IsHiragana}\p{IsHan}]|[\p{IsKatakana}ー]+|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{2,}"
 _HIDDEN = "[\u00ad\u200b-\u200f\u2060\ufeff]"
@@ -52,6 +52,7 @@ def structure_regexes():
         "url": re.compile(r"(?:https?://|www\.)[^\s<>\"'\])|]+|(?<![\w.@])(?:[\w-]+\.)+(?:example|test|invalid|localhost|com|org|net|info|biz|shop|io|de|fr|es|jp|uk|eu)(?![\w.])(?:/[^\s<>\"'\])|]*)?"),
         "tag": re.compile(r"</?(?:a\s|[A-Za-z]{2,})[^<>]*>|\[/?url[^\]]*\]|(?<!\w)#[\p{L}\p{N}][\p{L}\p{N}_-]*"),
         "word": re.compile(r"[\p{L}\p{M}]+"),
+        "counted": re.compile(r"[\p{Hiragana}\p{Han}]|[\p{Katakana}ー]+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}]){2,}"),  # as _WORD
         "number": re.compile(r"\d+(?:[.,:]\d+)*"),
         "cjk": re.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]"),
         "kana": re.compile(r"\p{Hiragana}"),
@@ -107,6 +108,9 @@ class Structure:
             return "data"
         return "string"
 
+    def words(self, text: str) -> int:
+        return len(self.r["counted"].findall(self.r["hidden"].sub("", text)))
+
     def shares(self, text: str) -> tuple[float, float]:
         """(share of strings, share of data) of the characters that are in any segment."""
         size = {"sentence": 0, "data": 0, "string": 0}
@@ -120,14 +124,14 @@ class Structure:
 
 
 _FAR = ("far_slope", "far_residual", "far_divergence")
-_FOUND = "doc_id bigint, strings double, far_slope double, far_residual double, far_divergence double"
 
 
 def _structures(batches):
     of = Structure()
     for b in batches:
-        both = np.array([of.shares(t) for t in b.column(1).to_pylist()]).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(both[:, 0]), *(b.column(c) for c in _FAR)], ["doc_id", "strings", *_FAR])
+        texts = b.column("text").to_pylist()
+        strings, words = [of.shares(t)[0] for t in texts], [of.words(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(strings, pa.float64()), pa.array(words, pa.int64())], ["doc_id", "strings", "words"])
 
 
 def language(lang: Column) -> Column:
@@ -191,26 +195,35 @@ def curves(docs: DataFrame) -> DataFrame:
     )
 
 
-def suspects(curve: DataFrame) -> DataFrame:
-    """Pages whose slope, residual or divergence is more than EXTREME robust deviations from the median of their language and length.
+def found_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, strings) of the pages of LEAST_WORDS words or more that are MOSTLY strings, each page judged by its own text alone."""
+    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    each = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id").mapInArrow(_structures, "doc_id bigint, strings double, words bigint")
+    page = each.groupBy("doc_id").agg(F.max("strings").alias("strings"), F.sum("words").alias("words"))
+    return page.where((F.col("strings") >= MOSTLY) & (F.col("words") >= LEAST_WORDS)).select("doc_id", "strings")
+
+
+def far_from_prose(curve: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, far_slope, far_residual, far_divergence) of the pages of `found`: robust deviations from the median of the other pages of their language and length.
 
-    Divergence: the relative entropy of a page's band shares against the median shares of pages of its
-    language and length.  Pages of a language and length with fewer than LEAST_PAGES are suspects too,
-    as nothing says what is normal.  `curve` is read more than once, so stage it.
+    Divergence: the relative entropy of a page's band shares against the median shares of those pages.
+    Pages with the same curve, as copies have, count once.  Pages of which nothing says what is normal
+    are left out.  Both tables are read more than once, so stage them.
     """
     bands = [f"b{i}" for i in range(len(BANDS))]
     key = ["lang", "size_bin"]
-    prose = curve.groupBy(*key).agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"q_{c}") for c in bands])
+    same = [F.round(c, 9).alias(f"_{c}") for c in ("slope", "residual", *bands)]
+    others = curve.join(found, "doc_id", "left_anti").select("*", *same).dropDuplicates([*key, "words", *[f"_{c}" for c in ("slope", "residual", *bands)]])
+    prose = others.groupBy(*key).agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"q_{c}") for c in bands])
     parts = [(F.col(c), F.col(f"q_{c}")) for c in bands]
     parts.append((1 - sum(p for p, _ in parts), 1 - sum(q for _, q in parts)))
     eps = 0.5 / F.col("words")
     terms = [(p + eps) * F.log((p + eps) / (F.greatest(q, F.lit(0.0)) + eps)) for p, q in parts]
-    told = curve.join(prose, key).select(*key, "doc_id", "words", "slope", "residual", sum(terms).alias("divergence"))
+    told = lambda of: of.join(prose, key).select(*key, "doc_id", "slope", "residual", sum(terms).alias("divergence"))
     names = ("slope", "residual", "divergence")
-    normal = told.groupBy(*key).agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{c}") for c in names], F.count("*").alias("pages"))
+    normal = told(others).groupBy(*key).agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{c}") for c in names])
     far = lambda c: F.abs(F.col(c) - F.col(f"q_{c}")[1]) / F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(1e-3))
-    j = told.join(normal, key).select("doc_id", "lang", "words", "pages", *[far(c).alias(f"far_{c}") for c in names])
-    return j.where((F.greatest(*[F.col(f"far_{c}") for c in names]) > EXTREME) | (F.col("pages") < LEAST_PAGES))
+    return told(curve.join(found, "doc_id", "left_semi")).join(normal, key).select("doc_id", *[far(c).alias(f"far_{c}") for c in names])
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
@@ -219,16 +232,16 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     `docs`: doc_id, text, lang; other columns are ignored.  Null, empty and blank texts and pages of
     fewer than LEAST_WORDS words are none; a null or unknown language is compared within `und`.  Rows
     with a null doc_id are left out; rows that repeat a doc_id count as one page of all their words.
+    The three deviations are null where no other page has the language and length.
     """
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang")
-    pages = staged(curves(some), "curves")
-    texts = some.select("doc_id", "text").join(suspects(pages), "doc_id")
-    shares = texts.select("doc_id", "text", *_FAR).mapInArrow(_structures, _FOUND)
-    return shares.where(F.col("strings") >= MOSTLY).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("strings", *_FAR)])
+    found = staged(found_pages(some), "found")
+    told = far_from_prose(staged(curves(some), "curves"), found)
+    return found.join(told, "doc_id", "left").select("doc_id", "strings", *_FAR)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     """Documents that are mostly keywords, links, menus or tags."""
     from terrakite.plans.stage import table
 
-    return stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return found_pages(table(spark, sf_dir, "documents")).select("doc_id")

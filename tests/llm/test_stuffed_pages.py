@@ -58,6 +58,14 @@ def test_whole_operator(spark):
     assert got == {1000 + i for i in range(len(STUFFED))}
 
 
+def test_copies_that_fill_a_language_and_length_are_all_found(spark):
+    copies = [(5000 + i, STUFFED[0], "en", "x") for i in range(400)]
+    df = spark.createDataFrame(corpus() + copies, "doc_id bigint, text string, lang string, words string")
+    got = stuffed_pages(df).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in copies]
+    assert all(r.far_divergence is None or r.far_divergence > 1 for r in got)
+
+
 def test_empty_table(spark):
     assert stuffed_pages(spark.createDataFrame([], "doc_id bigint, text string, lang string")).collect() == []
 
