@@ -129,6 +129,22 @@ def _small_chunks(spark, rows, chunk):
         spikes.ordered_chunks = old
 
 
+def test_a_stuck_run_over_several_chunks_is_judged_whole(spark):
+    rows = walk(1000, 1, 10_000, 7) + walk(1000, 2, 20_000, 8) + walk(300, 3, 30_000, 9)
+    by = {r[0]: r for r in rows}
+    for first in (10_100, 20_100):
+        for k in range(first + 1, first + 700):
+            by[k][3] = by[first][3]
+    for k in range(10_101, 10_650):
+        by[k][2] = by[10_100][2]  # parked first, then moving
+    for k in range(20_150, 20_800):
+        by[k][2] = by[20_150][2]  # moving first, then parked
+    for k in range(30_101, 30_300):
+        by[k][3], by[k][2] = by[30_100][3], by[30_100][2]  # standing still
+    got = sorted(r.gps_id for r in _small_chunks(spark, rows, 120) if r.reason == "stuck")
+    assert got == [*range(10_101, 10_800), *range(20_101, 20_800)]
+
+
 def test_spikes_empty(spark):
     assert spikes.implausible_fixes(spark.createDataFrame([], GPS)).collect() == []
 
