@@ -145,6 +145,16 @@ def test_a_stuck_run_over_several_chunks_is_judged_whole(spark):
     assert got == [*range(10_101, 10_800), *range(20_101, 20_800)]
 
 
+def test_a_spike_in_a_chunk_noisier_than_its_session_is_found(spark):
+    rows = walk(1600, 1, 10_240, 5)
+    by = {r[0]: r for r in rows}
+    for k in range(11_200, 11_500):
+        by[k][4] = [40.0, 40.0, 1.0]  # eight times the usual
+    by[11_300][4] = [55.0, 40.0, 1.0]
+    got = {r.gps_id for r in _small_chunks(spark, rows, 120) if r.reason == "spike"}
+    assert 11_300 in got
+
+
 def test_spikes_empty(spark):
     assert spikes.implausible_fixes(spark.createDataFrame([], GPS)).collect() == []
 
