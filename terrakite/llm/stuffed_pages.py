@@ -21,6 +21,7 @@ from terrakite.plans.stage import staged
 COMMON_WORDS = 100  # a language
 BANDS = (1, 2, 4, 8, 15, 40, 100)  # last rank of each band
 LEAST_WORDS = 12
+LEAST_STRUNG = 4  # links, tags, dotted words, repeats and further items, for a page of fewer words
 MOSTLY = 0.6
 _WORD = r"[\p{IsHiragana}\p{IsHan}]|[\p{IsKatakana}ー]+|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{2,}"
 _HIDDEN = "[\u00ad\u200b-\u200f\u2060\ufeff]"
@@ -45,6 +46,8 @@ def structure_regexes():
     return {
         "hidden": re.compile("[­​-‏⁠﻿]"),
         "dotted": re.compile(r"(?<![\p{L}\p{N}.])[\p{L}\p{N}](?:\.[\p{L}\p{N} ]){2,}\.?"),
+        "dotted_word": re.compile(r"(?<![\p{L}.])\p{L}(?:\.\p{L}){3,}(?!\p{L})"),
+        "items": re.compile(r"[,;|•·・、，]|\s[/>–—-]\s"),
         "leet": re.compile(r"(?<![\p{L}\p{N}@$])(?=[\p{N}@$]{0,2}\p{L}[\p{L}\p{N}@$]*\p{L})(?=[\p{L}\p{N}]*[@$]|\p{L}*[013]\p{L}{2})[\p{L}\p{N}@$]{4,}"),
         "lines": re.compile(r"[\r\n\x0b\x0c\x85  ]+"),
         "sentences": re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])"),
@@ -109,7 +112,23 @@ class Structure:
         return "string"
 
     def words(self, text: str) -> int:
-        return len(self.r["counted"].findall(self.r["hidden"].sub("", text)))
+        """Words of the cleaned text, so that letters joined by dots are one."""
+        return len(self.r["counted"].findall(self.clean(text)))
+
+    def strung(self, text: str) -> int:
+        """Links, tags, dotted words, words that repeat another, and items after the first, in lines or between separators: what sets a short string of keywords apart from a short remark."""
+        r = self.r
+        n = len(r["dotted_word"].findall(r["hidden"].sub("", text)))
+        items, words = 0, []
+        for line in r["lines"].split(self.clean(text)):
+            n += len(r["url"].findall(line))
+            bare = r["url"].sub(" ", line)
+            n += len(r["tag"].findall(bare))
+            bare = r["tag"].sub(" ", bare).strip()
+            words += [w.lower() for w in r["word"].findall(bare)]
+            if bare[-1:] not in tuple(".!?…。！？"):
+                items += sum(bool(r["word"].search(i)) for i in r["items"].split(bare))
+        return n + max(items - 1, 0) + len(words) - len(set(words))
 
     def shares(self, text: str) -> tuple[float, float]:
         """(share of strings, share of data) of the characters that are in any segment."""
@@ -131,7 +150,8 @@ def _structures(batches):
     for b in batches:
         texts = b.column("text").to_pylist()
         strings, words = [of.shares(t)[0] for t in texts], [of.words(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(strings, pa.float64()), pa.array(words, pa.int64())], ["doc_id", "strings", "words"])
+        strung = [of.strung(t) if w < LEAST_WORDS else 0 for t, w in zip(texts, words)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(strings, pa.float64()), pa.array(words, pa.int64()), pa.array(strung, pa.int64())], ["doc_id", "strings", "words", "strung"])
 
 
 def language(lang: Column) -> Column:
@@ -196,11 +216,11 @@ def curves(docs: DataFrame) -> DataFrame:
 
 
 def found_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, strings) of the pages of LEAST_WORDS words or more that are MOSTLY strings, each page judged by its own text alone."""
+    """(doc_id, strings) of the pages that are MOSTLY strings and have LEAST_WORDS words or LEAST_STRUNG things strung together, each page judged by its own text alone."""
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    each = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id").mapInArrow(_structures, "doc_id bigint, strings double, words bigint")
-    page = each.groupBy("doc_id").agg(F.max("strings").alias("strings"), F.sum("words").alias("words"))
-    return page.where((F.col("strings") >= MOSTLY) & (F.col("words") >= LEAST_WORDS)).select("doc_id", "strings")
+    each = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id").mapInArrow(_structures, "doc_id bigint, strings double, words bigint, strung bigint")
+    page = each.groupBy("doc_id").agg(F.max("strings").alias("strings"), F.sum("words").alias("words"), F.max("strung").alias("strung"))
+    return page.where((F.col("strings") >= MOSTLY) & ((F.col("words") >= LEAST_WORDS) | (F.col("strung") >= LEAST_STRUNG))).select("doc_id", "strings")
 
 
 def far_from_prose(curve: DataFrame, found: DataFrame) -> DataFrame:
@@ -229,7 +249,7 @@ def far_from_prose(curve: DataFrame, found: DataFrame) -> DataFrame:
 def stuffed_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, strings, far_slope, far_residual, far_divergence) of keyword-stuffed and link-list pages.
 
-    `docs`: doc_id, text, lang; other columns are ignored.  Null, empty and blank texts and pages of
+    `docs`: doc_id, text, lang; other columns are ignored.  Null, empty and blank texts and remarks of
     fewer than LEAST_WORDS words are none; a null or unknown language is compared within `und`.  Rows
     with a null doc_id are left out; rows that repeat a doc_id count as one page of all their words.
     The three deviations are null where no other page has the language and length.

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from terrakite.llm.stuffed_pages import Structure, language, stuffed_pages
+from terrakite.llm.stuffed_pages import Structure, found_pages, language, stuffed_pages
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,13 @@ def test_copies_that_fill_a_language_and_length_are_all_found(spark):
     assert all(r.far_divergence is None or r.far_divergence > 1 for r in got)
 
 
+def test_short_pages(spark):
+    stuffed = ["#a1 #tripod #lidar #maps #scan #buy #price #kit #app #shop", "t.r.i.p.o.d l.i.d.a.r p.r.i.c.e s.c.a.n", "t.r.i.p.o.d l.i.d.a.r p.r.i.c.e " * 10, "lidar kit, tripod, scan app, buy maps, price"]
+    remarks = ["ok", "n/a", "No change.", "see above", "Done.\nOk. Thanks.", "see https://www.place1.example/item", "特になし"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(stuffed + remarks)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in found_pages(df).collect()} == set(range(len(stuffed)))
+
+
 def test_empty_table(spark):
     assert stuffed_pages(spark.createDataFrame([], "doc_id bigint, text string, lang string")).collect() == []
 
