@@ -73,6 +73,13 @@ def test_short_pages(spark):
     assert {r.doc_id for r in found_pages(df).collect()} == set(range(len(stuffed)))
 
 
+def test_a_page_is_judged_alike_among_few_and_many(spark):
+    one = STUFFED[0]
+    for copies in (1, 29, 31, 300):
+        df = spark.createDataFrame([(i, one, "en") for i in range(copies)], "doc_id bigint, text string, lang string")
+        assert found_pages(df).count() == copies
+
+
 def test_empty_table(spark):
     assert stuffed_pages(spark.createDataFrame([], "doc_id bigint, text string, lang string")).collect() == []
 
