@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from terrakite.llm.stuffed_pages import Structure, found_pages, language, stuffed_pages
+from terrakite.llm.stuffed_pages import Lexicon, Structure, curves, found_pages, language, spectra, stuffed_pages
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,21 @@ def test_strings_are_little_of_an_honest_text(structure, text):
     assert structure.shares(text)[0] < 0.4
 
 
+FOREIGN = [
+    "Мы прошли по залу за девять минут, и планшет потерял опорные точки. Лучше поворачиваться медленно и останавливаться перед каждым снимком. К вечеру пошёл дождь, поэтому съёмку закончили раньше.",
+    "Przeszliśmy przez halę w dziewięć minut i tablet zgubił punkty odniesienia. Lepiej obracać się powoli i zatrzymywać przed każdym zdjęciem. Wieczorem zaczął padać deszcz, więc skończyliśmy wcześniej.",
+    "我们用了九分钟走过大厅，平板电脑丢失了定位点。最好慢慢转身，并在每次拍照前停下来。傍晚开始下雨，所以我们提前结束了工作。",
+    "우리는 구 분 동안 홀을 걸었고 태블릿이 기준점을 잃어버렸다. 천천히 돌고 사진을 찍기 전에 멈추는 것이 좋다. 저녁에 비가 와서 일찍 끝냈다.",
+    "مشينا في القاعة تسع دقائق ففقد الجهاز نقاط المرجع. من الأفضل أن تدور ببطء وأن تتوقف قبل كل صورة. بدأ المطر مساء فانتهينا مبكرا.",
+    "Passeggiammo nella sala per nove minuti e il dispositivo perse i punti di riferimento. Conviene girare piano e fermarsi prima di ogni foto. La sera cominciò a piovere, quindi finimmo presto.",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_prose_of_languages_without_pages_is_honest(structure, text):
+    assert structure.shares(text)[0] < 0.4
+
+
 def corpus():
     rng = random.Random(3)
     subjects, verbs, places = ["the tablet", "our crew", "a volunteer", "the map editor"], ["lost", "kept", "measured", "moved"], ["hall", "garage", "arcade", "stair"]
@@ -66,6 +82,32 @@ def test_copies_that_fill_a_language_and_length_are_all_found(spark):
     assert all(r.far_divergence is None or r.far_divergence > 1 for r in got)
 
 
+def test_languages_of_few_or_no_pages_and_stuffing_with_small_words(spark):
+    small = "Buy the best cheap camera and the best cheap lens for the best cheap tripod. " * 30
+    foreign = [(7000 + i, t, lang, "x") for i, t in enumerate(FOREIGN) for lang in ("en",)] + [(7100 + i, t, lang, "x") for i, (t, lang) in enumerate(zip(FOREIGN, ("ru", "pl", "zh", "ko", "ar", None)))]
+    bad = [(8000, small, "en", "x"), (8001, "купить дешёвый штатив, цена лидар, скидка камера, " * 12, "ru", "x"), (8002, "tani statyw kup lidar cena promocja aparat statyw " * 12, "en", "x")]
+    df = spark.createDataFrame(corpus() + foreign + bad, "doc_id bigint, text string, lang string, words string")
+    assert {r.doc_id for r in found_pages(df).collect()} == {8000, 8001, 8002}
+
+
+def test_distinct_stuffed_pages_that_are_two_fifths_of_a_language_do_not_set_its_norm(spark):
+    rng = random.Random(5)
+    words = ["tripod", "lidar", "scanner", "drone", "camera", "price", "cheap", "buy", "offer", "kit"]
+    stuffed = [(9000 + i, " ".join(rng.choice(words) for _ in range(rng.randint(30, 90))), "en", "x") for i in range(200)]
+    df = spark.createDataFrame(corpus() + stuffed, "doc_id bigint, text string, lang string, words string")
+    assert {r.doc_id for r in found_pages(df).collect()} == {r[0] for r in stuffed}
+
+
+def test_the_curve_of_words(spark):
+    rows = [(1, "aa " * 8 + "bb " * 4 + "cc cc dd dd " + "ee", "en"), (2, "one two three", "en")]
+    counted = spectra(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = curves(counted, Lexicon()).collect()
+    assert [r.doc_id for r in got] == [1] and got[0].words == 17 and got[0].lang is None
+    x, y = np.log([1, 2, 3.5, 3.5, 5]), np.log([8, 4, 2, 2, 1])
+    slope, at = np.polyfit(x, y, 1)
+    assert abs(got[0].slope - slope) < 1e-9 and abs(got[0].residual - np.sqrt(np.mean((y - slope * x - at) ** 2))) < 1e-9
+
+
 def test_short_pages(spark):
     stuffed = ["#a1 #tripod #lidar #maps #scan #buy #price #kit #app #shop", "t.r.i.p.o.d l.i.d.a.r p.r.i.c.e s.c.a.n", "t.r.i.p.o.d l.i.d.a.r p.r.i.c.e " * 10, "lidar kit, tripod, scan app, buy maps, price"]
     remarks = ["ok", "n/a", "No change.", "see above", "Done.\nOk. Thanks.", "see https://www.place1.example/item", "特になし"]
