@@ -83,10 +83,10 @@ def landmark_count(spark, d):
 
 
 @query("""WITH m AS (SELECT max(id) AS top FROM fx_landmarks) SELECT id, x FROM fx_landmarks
- UNION ALL SELECT top + row_number() OVER (ORDER BY x, y, z), x FROM (SELECT DISTINCT x, y, z FROM fx_landmarks WHERE id <= 20) n, m""")
+ UNION ALL SELECT top + row_number() OVER (ORDER BY x, y, z), x FROM (SELECT DISTINCT x, y, z FROM fx_landmarks) n, m""")
 def landmark_insert(spark, d):
     rows = view(spark, d, "fx_landmarks").select("id", "x", "y", "z")
-    new = rows.where("id <= 20").select("x", "y", "z").distinct().withColumn("id", F.lit(0).cast("long")).withColumn("o", F.struct("x", "y", "z"))
+    new = rows.select("x", "y", "z").distinct().withColumn("id", F.lit(0).cast("long")).withColumn("o", F.struct("x", "y", "z"))
     return spatial.insert(rows.withColumn("o", F.struct("x", "y", "z")), new, order="o").select("id", "x")
 
 

@@ -29,26 +29,25 @@ def _points(spark, d) -> DataFrame:
 
 
 def _descriptors(spark, d) -> DataFrame:
-    o = view(spark, d, "fx_observations").where("(frame_id + seq) % 3 = 0").select((F.col("frame_id") + 1).cast("int").alias("image_id"), F.col("seq").cast("int").alias("idx")).distinct()
+    o = view(spark, d, "fx_observations").select((F.col("frame_id") + 1).cast("int").alias("image_id"), F.col("seq").cast("int").alias("idx")).distinct()
     return o.withColumn("desc", F.encode(F.concat_ws("/", "image_id", "idx"), "UTF-8"))
 
 
-@query("""SELECT landmark_id AS point_id, arg_min(CAST(frame_id + 1 AS VARCHAR) || '/' || CAST(seq AS VARCHAR), frame_id * 100 + seq) AS descriptor FROM fx_observations WHERE (frame_id + seq) % 3 = 0 GROUP BY 1""")
+@query("""SELECT landmark_id AS point_id, arg_min(CAST(frame_id + 1 AS VARCHAR) || '/' || CAST(seq AS VARCHAR), frame_id * 100 + seq) AS descriptor FROM fx_observations GROUP BY 1""")
 def first_descriptor(spark, d):
     f = reconstruction.first_descriptors(reconstruction.tracks(_points(spark, d)), _descriptors(spark, d))
     return f.select("point_id", F.decode("desc", "UTF-8").alias("descriptor"))
 
 
-@query("""WITH o AS (SELECT o.landmark_id AS id, f.cx, f.cy, f.cz, sqrt((l.x - f.cx) * (l.x - f.cx) + (l.y - f.cy) * (l.y - f.cy) + (l.z - f.cz) * (l.z - f.cz)) AS far FROM fx_observations o JOIN fx_frames f ON f.frame_id = o.frame_id JOIN fx_landmarks l ON l.id = o.landmark_id
- WHERE o.landmark_id IN (SELECT landmark_id FROM fx_observations WHERE (frame_id + seq) % 3 = 0))
- SELECT id, count(*) AS sightings, round(min(cx) - greatest(3, 0.2 * max(far)), 6) AS lx, round(max(cz) + greatest(3, 0.2 * max(far)), 6) AS uz FROM o GROUP BY 1""")
+@query("""WITH o AS (SELECT o.landmark_id AS id, f.cx, f.cy, f.cz, sqrt((l.x - f.cx) * (l.x - f.cx) + (l.y - f.cy) * (l.y - f.cy) + (l.z - f.cz) * (l.z - f.cz)) AS far FROM fx_observations o JOIN fx_frames f ON f.frame_id = o.frame_id JOIN fx_landmarks l ON l.id = o.landmark_id)
+ SELECT id, count(*) AS sightings, round(min(cx) - greatest(3, 0.2 * max(far)), 6) AS lx, round(min(cz) - greatest(3, 0.2 * max(far)), 6) AS lz, round(max(cx) + greatest(3, 0.2 * max(far)), 6) AS ux, round(max(cz) + greatest(3, 0.2 * max(far)), 6) AS uz FROM o GROUP BY 1""")
 def track_to_landmarks(spark, d):
     f = view(spark, d, "fx_frames").select(F.col("frame_id").alias("id"), F.col("t").alias("timestamp"), _eye(F.col("cx"), F.col("cy"), F.col("cz")).alias("extrinsics"))
     images = f.select((F.col("id") + 1).cast("int").alias("image_id"), F.lit("").alias("name"))
     o = view(spark, d, "fx_observations").select((F.col("frame_id") + 1).cast("int").alias("image_id"), F.col("seq").cast("int").alias("idx")).distinct()
     kp = o.select("image_id", "idx", *[F.lit(0.0).cast("float").alias(c) for c in ("x", "y", "size", "angle")])
     lm, _ = reconstruction.landmarks_from_model(_points(spark, d), images, kp, _descriptors(spark, d), f)
-    return lm.select("id", "sightings", r(F.col("lx")).alias("lx"), r(F.col("uz")).alias("uz"))
+    return lm.select("id", "sightings", *[r(F.col(c)).alias(c) for c in ("lx", "lz", "ux", "uz")])
 
 
 @query("SELECT a.id, CASE WHEN a.id % 2 = 0 AND f.frame_id IS NOT NULL THEN round(f.cx + a.x, 6) ELSE round(a.x, 6) END AS x, CASE WHEN a.id % 2 = 0 AND f.frame_id IS NOT NULL THEN round(f.cz + a.z, 6) ELSE round(a.z, 6) END AS z FROM fx_anchors a LEFT JOIN fx_frames f ON f.frame_id = a.frame_id")
