@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity with items of varying length, by packing patterns.
 
-The histogram of lengths is all that the plan needs: patterns of up to three lengths that fill a
-container exactly are enumerated, repeat counts are fitted to the histogram by non-negative least
-squares and rounded down, and what is left over is packed by best fit over the histogram.  The plan
-is bounded by the capacity, not by the data.  Items then find their container by their rank among
+The histogram of lengths is all that the plan needs.  Patterns are choices of lengths that fill a
+container: those of one to three lengths are enumerated, those of more are drawn from the histogram and
+completed exactly.  Repeat counts are fitted to the histogram by non-negative least squares and
+rounded to what it can supply; further rounds draw patterns from what is left.  The residue, items that
+no pattern fits any more, is packed by best fit over the histogram.  The plan is bounded by the
+capacity and by PATTERN_ITEMS, not by the data.  Items then find their container by their rank among
 the items of their length, which is counted in two steps so that a length shared by very many items
 is never ranked in one task.
 """
@@ -23,11 +25,17 @@ from terrakite.plans.stage import staged
 
 GROUP_ROWS = 50_000
 ITERATIONS = 60
+PATTERN_ITEMS = 300_000  # items in all patterns of a round
+MAX_ITEMS = 1024  # in a drawn pattern
+ROUNDS = 10
 _RANK_BITS = 44
 
 
-def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
-    """n x 3 lengths, descending, 0 for none: every choice of one to three lengths of `present` with sum `capacity`."""
+def patterns(capacity: int, present: np.ndarray, most: int = PATTERN_ITEMS // 3) -> np.ndarray:
+    """n x 3 lengths, descending, 0 for none: choices of one to three lengths of `present` with sum `capacity`.
+
+    All of them, unless those of three are more than about `most`: then evenly spaced ones for every largest length.
+    """
     has = np.zeros(capacity + 1, bool)
     has[present] = True
     ls = np.flatnonzero(has[1:]) + 1
@@ -36,15 +44,55 @@ def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
     two = (b >= 1) & (b <= ls)
     two[two] = has[b[two]]
     out.append(np.stack([ls[two], b[two], np.zeros(two.sum(), int)], 1))
-    for a in ls[(ls < capacity) & (3 * ls >= capacity)]:
+    firsts = ls[(ls < capacity) & (3 * ls >= capacity)]
+    apart = max(1, len(firsts) * len(ls) // (4 * most))
+    for a in firsts:
         left = capacity - a
         x = ls[(ls <= min(a, left - 1)) & (2 * ls >= left)]
         y = left - x
-        x = x[has[y]]
+        x = x[has[y]][a % apart :: apart]
         out.append(np.stack([np.full(len(x), a), x, left - x], 1))
     return np.concatenate(out) if out else np.zeros((0, 3), int)
 
 
+def drawn_patterns(capacity: int, histogram: np.ndarray, rng: np.random.Generator, items: int = PATTERN_ITEMS) -> np.ndarray:
+    """n x k lengths, 0 for none: patterns drawn from `histogram` (more of what there is more of), each completed to the capacity or almost.
+
+    The first length of a pattern is drawn by the room its items take, so that long ones get their
+    complement; of the others, one that leaves a length there is wins over one that does not.
+    """
+    h = histogram.copy()
+    h[0] = 0
+    lengths = np.flatnonzero(h)
+    if not len(lengths):
+        return np.zeros((0, 1), int)
+    mean = float((h * np.arange(len(h))).sum()) / float(h.sum())
+    k = int(min(MAX_ITEMS, 2 * capacity / mean + 8, capacity))
+    n = max(32, int(min(items, 4 * h.sum())) // k)
+    cum = np.cumsum(h)
+    by_room = np.cumsum(h * np.arange(len(h)))
+    room, out = np.full(n, capacity), np.zeros((n, k), np.int64)
+    out[:, 0] = np.searchsorted(by_room, (rng.random(n) * by_room[-1]).astype(np.int64), "right")
+    room -= out[:, 0]
+    for j in range(1, k):
+        open_ = np.flatnonzero((room > 0) & (cum[room] > 0))
+        if not len(open_):
+            break
+        r = room[open_]
+        pick, last = np.where(h[r] > 0, r, 0), np.zeros(len(r), np.int64)
+        for _ in range(6):
+            todo = np.flatnonzero(pick == 0)
+            if not len(todo):
+                break
+            a = np.searchsorted(cum, (rng.random(len(todo)) * cum[r[todo]]).astype(np.int64), "right")
+            pick[todo] = np.where(h[r[todo] - a] > 0, a, 0)
+            last[todo] = a
+        pick = np.where(pick == 0, last, pick)
+        out[open_, j] = pick
+        room[open_] -= pick
+    return out[room <= capacity // 512]
+
+
 def fit_repeats(pats: np.ndarray, histogram: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
     """x >= 0 minimising the weighted squares of (uses of each length - histogram), by accelerated projected gradients.
 
@@ -53,12 +101,13 @@ def fit_repeats(pats: np.ndarray, histogram: np.ndarray, iterations: int = ITERA
     c = len(histogram) - 1
     weight = np.where(np.arange(c + 1) >= c / 16, 1.0, 0.2)
     weight[0] = 0.0
+    flat, k = pats.ravel(), pats.shape[1]
 
     def use(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(pats[:, i], weights=x, minlength=c + 1) for i in range(3))
+        return np.bincount(flat, weights=np.repeat(x, k), minlength=c + 1)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return r[pats[:, 0]] + r[pats[:, 1]] + r[pats[:, 2]]
+        return r[pats].sum(1)
 
     v = np.ones(len(pats))
     for _ in range(12):  # power iteration: the step size
@@ -66,7 +115,7 @@ def fit_repeats(pats: np.ndarray, histogram: np.ndarray, iterations: int = ITERA
         norm = np.linalg.norm(v)
         v /= norm
     step = 1.0 / (1.05 * norm)
-    x = y = np.zeros(len(pats))
+    x = y = np.full(len(pats), histogram.sum() / max(1, np.count_nonzero(pats)))
     t = 1.0
     for _ in range(iterations):
         new = np.maximum(0.0, y - step * back(weight**2 * (use(y) - histogram)))
@@ -75,19 +124,18 @@ def fit_repeats(pats: np.ndarray, histogram: np.ndarray, iterations: int = ITERA
     return x
 
 
-def round_repeats(pats: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
-    """Whole repeat counts that the histogram can supply, most used patterns first, and what is left of it."""
-    left, out = histogram.copy(), []
+def round_repeats(pats: np.ndarray, x: np.ndarray, histogram: np.ndarray, least: float = 0.5) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole repeat counts, the nearest to `x` but at least one where `x` is `least` or more, as far as the histogram can supply them, most used patterns first and no more in all than fitted; and what is left of it."""
+    left, out, budget = histogram.copy(), [], x.sum() + 1
     for i in np.argsort(-x, kind="stable"):
-        n = int(x[i] + 0.5)
-        if n < 1:
+        if budget < 1 or x[i] < least:
             break
-        p = Counter(int(v) for v in pats[i] if v)
-        n = min([n, *(int(left[v]) // k for v, k in p.items())])
+        lengths, times = np.unique(pats[i][pats[i] > 0], return_counts=True)
+        n = min(max(1, int(x[i] + 0.5)), int((left[lengths] // times).min()))
         if n:
-            out.append((tuple(p.elements()), n))
-            for v, k in p.items():
-                left[v] -= n * k
+            budget -= n
+            out.append((tuple(int(v) for v in np.repeat(lengths, times)[::-1]), n))
+            left[lengths] -= n * times
     return out, left
 
 
@@ -134,6 +182,7 @@ class Plan:
     base: np.ndarray
     per: np.ndarray
     containers: int
+    by_patterns: int = 0  # containers filled by patterns; they come first
 
     def container(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
         code = (length.astype(np.int64) << _RANK_BITS) | rank
@@ -141,16 +190,31 @@ class Plan:
         return self.base[at] + (code - self.keys[at]) // self.per[at]
 
 
-def make_plan(histogram: np.ndarray) -> Plan:
+def make_plan(histogram: np.ndarray, seed: int = 11) -> Plan:
     """A plan for `histogram`, the number of items of each length from 0 to the capacity."""
     c = len(histogram) - 1
-    full, rest = int(histogram[c]), histogram.copy()
-    rest[c] = 0
-    pats = patterns(c, np.flatnonzero(rest))
-    chosen, left = round_repeats(pats, fit_repeats(pats, rest), rest) if len(pats) else ([], rest)
-    groups = [(tuple(Counter(p).items()), n) for p, n in chosen] + best_fit(left)
+    full, left = int(histogram[c]), histogram.copy()
+    left[c] = left[0] = 0
+    rounds, rng = [([], left)], np.random.default_rng(seed)
+    for n in range(ROUNDS + 1):
+        pats = drawn_patterns(c, left, rng) if n else patterns(c, np.flatnonzero(left))
+        if not len(pats):
+            continue
+        got, left = round_repeats(pats, fit_repeats(pats, left, 25 if n else ITERATIONS), left, 0.0 if n else 0.5)
+        rounds.append((rounds[-1][0] + got, left))
+        if n and sum(times for _, times in got) * c < 0.02 * float((left * np.arange(c + 1)).sum()):
+            break
+    made = [sum(times for _, times in chosen) + sum(times for _, times in best_fit(rest)) for chosen, rest in rounds[-1:]]
+    room = float((histogram * np.arange(c + 1)).sum())
+    if (made[0] + full) * c > 1.005 * room + c:  # long items may lack short ones that patterns took: see after which round the fewest containers come out
+        made = [sum(times for _, times in chosen) + sum(times for _, times in best_fit(rest)) for chosen, rest in rounds[:-1]] + made
+        rounds = rounds[: len(made) - int(np.argmin(made[::-1]))]
+    chosen, left = rounds[-1]
+    groups = [(tuple(Counter(p).items()), n) for p, n in chosen]
+    by_patterns = sum(n for _, n in groups) + full
     if full:
         groups.append((((c, 1),), full))
+    groups += best_fit(left)
     next_rank, rows, base = Counter(), [], 0
     for made, n in groups:
         times = Counter()
@@ -162,7 +226,7 @@ def make_plan(histogram: np.ndarray) -> Plan:
         base += n
     rows.sort()
     k, b, p = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-    return Plan(k, b, p, base)
+    return Plan(k, b, p, base, by_patterns)
 
 
 def _place(plans: dict[str, Plan]):
@@ -189,6 +253,11 @@ def _place(plans: dict[str, Plan]):
 
 
 def pack(items: DataFrame, windows: list[tuple[str, int]], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`planned` without its plans."""
+    return planned(items, windows, group_rows)[0]
+
+
+def planned(items: DataFrame, windows: list[tuple[str, int]], group_rows: int = GROUP_ROWS) -> tuple[DataFrame, dict[str, Plan]]:
     """(window_name, container, item, piece, first_unit, units): every item in containers of every window.
 
     `items`: (item bigint, size bigint).  An item larger than the capacity is cut: whole containers
@@ -199,7 +268,7 @@ def pack(items: DataFrame, windows: list[tuple[str, int]], group_rows: int = GRO
     windows = [(n, c) for n, c in windows if n is not None and c is not None and c > 0]
     spark = items.sparkSession
     if not windows:
-        return spark.createDataFrame([], "window_name string, container bigint, item bigint, piece bigint, first_unit bigint, units bigint")
+        return spark.createDataFrame([], "window_name string, container bigint, item bigint, piece bigint, first_unit bigint, units bigint"), {}
     some = items.where("item IS NOT NULL AND size >= 1")
     sides = F.array(*[F.struct(F.lit(n).alias("window_name"), F.lit(c).cast("long").alias("capacity")) for n, c in windows])
     each = some.withColumn("w", F.explode(sides)).select("item", "size", "w.*")
@@ -220,25 +289,50 @@ def pack(items: DataFrame, windows: list[tuple[str, int]], group_rows: int = GRO
     inside = Window.partitionBy("window_name", "len", "g").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     ranked = parts.withColumn("before", F.coalesce(F.sum("times").over(inside), F.lit(0)))
     ranked = ranked.join(offsets, ["window_name", "len", "g"]).withColumn("rank", F.col("offset") + F.col("before"))
-    return ranked.mapInArrow(_place(plans), "window_name string, container bigint, item bigint, piece bigint, first_unit bigint, units bigint")
+    return ranked.mapInArrow(_place(plans), "window_name string, container bigint, item bigint, piece bigint, first_unit bigint, units bigint"), plans
 
 
-def p7_packing(spark, sf_dir: str) -> DataFrame:
-    """Every document with a token in containers of each token window: (window_name, container, doc_id, piece, first_token, n_tokens)."""
+def _packed(spark, sf_dir: str) -> tuple[DataFrame, dict[str, Plan], list[tuple[str, int]], DataFrame]:
+    """(placed items, plans, windows, items)."""
     from terrakite.llm.encode import encode_column, vocabulary
     from terrakite.plans.stage import table
 
     sizes = encode_column(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text", vocabulary(), counts_only=True)
     items = staged(sizes.where("n_tokens > 0").select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size")), "sizes")
-    windows = [(r["window_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "token_windows").distinct().collect()]
-    r = pack(items, sorted(windows))
+    windows = sorted((r["window_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "token_windows").distinct().collect())
+    placed, plans = planned(items, windows)
+    return placed, plans, windows, items
+
+
+def p7_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document with a token in containers of each token window: (window_name, container, doc_id, piece, first_token, n_tokens)."""
+    r = _packed(spark, sf_dir)[0]
     return r.select("window_name", "container", F.col("item").alias("doc_id"), "piece", F.col("first_unit").alias("first_token"), F.col("units").alias("n_tokens"))
 
 
 def p7_fill(spark, sf_dir: str) -> DataFrame:
-    """Per window: containers, tokens, and the share of the room that is used."""
-    r = p7_packing(spark, sf_dir).groupBy("window_name").agg((F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
-    from terrakite.plans.stage import table
-
-    w = table(spark, sf_dir, "token_windows").distinct()
-    return r.join(w, "window_name").select("window_name", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    """Per window: containers, tokens, the share of the room that is used, and the share of containers filled by patterns."""
+    r, plans, windows, _ = _packed(spark, sf_dir)
+    told = spark.createDataFrame([(n, c, plans[n].by_patterns) for n, c in windows], "window_name string, capacity long, by_patterns long")
+    f = r.groupBy("window_name").agg((F.max("container") + 1).alias("containers"), F.sum("units").alias("tokens")).join(F.broadcast(told), "window_name")
+    used, patterned = F.col("tokens") / (F.col("containers") * F.col("capacity")), F.col("by_patterns") / F.col("containers")
+    return f.select("window_name", "containers", "tokens", F.round(used, 6).alias("fill"), F.round(patterned, 6).alias("by_patterns"))
+
+
+def p7_check(spark, sf_dir: str) -> DataFrame:
+    """Per window, what must be none: containers beyond the capacity, containers without anything, documents whose tokens are not all there once, and documents cut though they fit."""
+    r, _, windows, items = _packed(spark, sf_dir)
+    r = staged(r, "placed")
+    room = spark.createDataFrame(windows, "window_name string, capacity long")
+    box = r.groupBy("window_name", "container").agg(F.sum("units").alias("units")).join(F.broadcast(room), "window_name")
+    box = box.groupBy("window_name").agg(F.count_if(F.col("units") > F.col("capacity")).alias("overfull"), (F.max("container") + 1 - F.count("*")).alias("empty"))
+    piece = r.groupBy("window_name", "item").agg(F.sum("units").alias("units"), F.count("*").alias("pieces"), F.countDistinct("first_unit").alias("firsts"))
+    want = items.groupBy("item").agg(F.sum("size").alias("size")).crossJoin(F.broadcast(room))  # the windows are a few
+    both = want.join(piece, ["window_name", "item"], "full")
+    whole = both.groupBy("window_name").agg(
+        F.count_if(~F.coalesce((F.col("units") == F.col("size")) & (F.col("firsts") == F.col("pieces")), F.lit(False))).alias("not_once"), F.count_if((F.col("size") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("cut")
+    )
+    return box.join(whole, "window_name").select("window_name", *[F.col(c).cast("long").alias(c) for c in ("overfull", "empty", "not_once", "cut")])
+
+
+CHECK_SQL = "SELECT window_name, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS not_once, CAST(0 AS BIGINT) AS cut FROM (SELECT DISTINCT window_name FROM token_windows)"

@@ -10,7 +10,8 @@ QUERIES = {
     "p6_ids": encode.p6_ids,
     "p7_packing": packing.p7_packing,
     "p7_fill": packing.p7_fill,
+    "p7_check": packing.p7_check,
     "p8_found": stuffed_pages.p8_found,
 }
 
-SQL = {"p4_found": nearest_time.FOUND_SQL}
+SQL = {"p4_found": nearest_time.FOUND_SQL, "p7_check": packing.CHECK_SQL}

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from terrakite.llm.packing import best_fit, fit_repeats, make_plan, pack, patterns, round_repeats
+from terrakite.llm.packing import best_fit, drawn_patterns, fit_repeats, make_plan, pack, patterns, round_repeats
 
 
 def check(rows, items, windows):
@@ -76,3 +76,26 @@ def test_one_hot_length():
     assert plan.containers == 500_002
     c = plan.container(np.full(10, 200), np.array([0, 1, 2, 3, 999_999, 1_000_000, 1_000_001, 1_000_002, 5, 4]))
     assert c[0] == c[1] != c[2] and c.max() < plan.containers
+
+
+def test_most_containers_are_filled_by_patterns_whatever_the_capacity():
+    rng = np.random.default_rng(4)
+    sizes = np.maximum(1, np.exp(rng.normal(np.log(490), 1.0, 60_000))).astype(int)
+    for c in (2048, 16384):
+        left = sizes % c
+        h = np.bincount(left[left > 0], minlength=c + 1)
+        plan = make_plan(h)
+        least = -(-int((h * np.arange(c + 1)).sum()) // c)
+        assert plan.containers <= least + 2 + least // 500 and plan.by_patterns >= 0.8 * plan.containers
+
+
+def test_drawn_patterns_are_full():
+    h = np.zeros(4097, np.int64)
+    h[[3, 50, 77, 210, 999, 2400]] = [900, 500, 400, 300, 90, 20]
+    p = drawn_patterns(4096, h, np.random.default_rng(1))
+    assert len(p) and (h[p[p > 0]] > 0).all()
+    assert ((p.sum(1) <= 4096) & (p.sum(1) >= 4096 - 8)).all()
+
+
+def test_a_wide_capacity_keeps_few_patterns():
+    assert len(patterns(3000, np.arange(1, 3000), most=10_000)) < 40_000
