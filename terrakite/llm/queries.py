@@ -6,6 +6,8 @@ from terrakite.llm import encode, nearest_time, packing, similar_vectors, stuffe
 
 QUERIES = {
     "p2_found": similar_vectors.p2_found,
+    "p2_exact": similar_vectors.p2_exact,
+    "p2_recall": similar_vectors.p2_recall,
     "p4_found": nearest_time.p4_found,
     "p6_ids": encode.p6_ids,
     "p7_packing": packing.p7_packing,
@@ -14,4 +16,4 @@ QUERIES = {
     "p8_found": stuffed_pages.p8_found,
 }
 
-SQL = {"p4_found": nearest_time.FOUND_SQL, "p7_check": packing.CHECK_SQL}
+SQL = {"p2_exact": similar_vectors.EXACT_SQL, "p2_recall": similar_vectors.RECALL_SQL, "p4_found": nearest_time.FOUND_SQL, "p7_check": packing.CHECK_SQL}

@@ -1,11 +1,12 @@
 """Most similar vectors for every vector: a hash-prefix forest over byte vectors.
 
-Each tree gives a vector a long hash string: a first character from the largest of many rotated
-coordinates and its sign, then characters from pairs of further coordinates.  The first character
-is the branch at the root: it decides the partition.  In a partition the strings of the landmarks
-lie in a sorted array; a query descends to its longest matching prefix and ascends, by the same
-rule in every tree, until at least MIN_CANDIDATES lie below.  Distances to the candidates are exact
-integers from one matrix product for all queries that ended at a node.
+Every vector gets long hash strings.  Their first character, the largest of many rotated coordinates
+and its sign, decides the partition; a branch too large for one task is cut by further characters of the same
+kind.  A few such partitionings, by different rotations, make it likely that neighbours meet.  In a
+partition a forest of LOCAL_TREES trees stands over its landmarks: a sorted array of strings each, of
+characters from pairs of further coordinates.  A query descends every tree to its longest matching prefix
+and ascends all of them together, a character at a time, until at least MIN_CANDIDATES lie below its nodes.
+Distances to the candidates are exact integers from one matrix product for all queries at a node.
 """
 
 from __future__ import annotations
@@ -20,61 +21,100 @@ from pyspark.sql import functions as F
 
 DIM = 128
 ROOT_DIMS = 64  # the first character has 2 * ROOT_DIMS values
-LEVELS = 12  # further characters, 4 values each
-MIN_CANDIDATES = 4096
+CUT_DIMS = 16  # the characters that cut large branches have 2 * CUT_DIMS values
+LOCAL_TREES = 6
+LEVELS = 12  # characters of a local string, 4 values each
+MIN_CANDIDATES = 1024
 BLOCK_ROWS = 50_000
 SAMPLE_ROWS = 20_000
-NEAR_ROOT, NEAR_LEVEL = 0.70, 0.88  # measured chance that a true neighbour shares a character
+SAMPLE_QUERIES = 2_000
+NEAR = 0.68  # chance that a true neighbour shares the first character, where the samples have too few neighbours to measure it
+NEAR_PAIRS = 500
+MOST_PARTITIONINGS = 12
 TARGET_RECALL = 0.96
+GROUP_ROWS = 20_000
+
+
+def _polytope(y: np.ndarray) -> np.ndarray:
+    """A character of each row: the place and sign of its largest coordinate."""
+    at = np.argmax(np.abs(y), axis=1)
+    return 2 * at + (y[np.arange(len(y)), at] > 0)
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Centre and rotations of the trees, and into how many blocks each root branch is cut."""
+    """Centre and rotations, which branches of each partitioning are cut by a second and a third character, and into how many blocks what is still too large is split."""
 
     centre: np.ndarray
-    rotations: np.ndarray  # trees x DIM x (ROOT_DIMS + 2 * LEVELS)
-    landmark_blocks: np.ndarray  # trees x 2 * ROOT_DIMS
+    rotations: np.ndarray  # partitionings x DIM x (ROOT_DIMS + 2 * CUT_DIMS)
+    cut: np.ndarray  # partitionings x roots
+    cut_again: np.ndarray  # partitionings x roots x second characters
+    local: np.ndarray  # DIM x (LOCAL_TREES * LEVELS * 2)
+    landmark_blocks: np.ndarray  # partitionings x roots
     query_blocks: np.ndarray
 
     @property
-    def trees(self) -> int:
+    def partitionings(self) -> int:
         return len(self.rotations)
 
-    def strings(self, v: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first character, the other characters as a number in base 4) of each row of `v`."""
-        return _strings((v.astype(np.float32) - self.centre) @ self.rotations[tree])
+    def parts(self, v: np.ndarray, t: int) -> np.ndarray:
+        """The partition of each row of `v` in partitioning `t`."""
+        y = (v.astype(np.float32) - self.centre) @ self.rotations[t]
+        a, b, c = _polytope(y[:, :ROOT_DIMS]), _polytope(y[:, ROOT_DIMS : ROOT_DIMS + CUT_DIMS]), _polytope(y[:, ROOT_DIMS + CUT_DIMS :])
+        more = self.cut[t, a]
+        most = more & self.cut_again[t, a, b]
+        return (a << 16) | np.where(more, (b + 1) << 8, 0) | np.where(most, c + 1, 0)
 
+    def strings(self, v: np.ndarray) -> np.ndarray:
+        """LOCAL_TREES x rows: the local strings as numbers in base 4."""
+        y = ((v.astype(np.float32) - self.centre) @ self.local).reshape(len(v), LOCAL_TREES, LEVELS, 2)
+        a, b = y[..., 0], y[..., 1]
+        second = np.abs(b) > np.abs(a)
+        char = 2 * second + (np.where(second, b, a) > 0)
+        return (char.astype(np.int64) << (2 * np.arange(LEVELS)[::-1])).sum(axis=2).T
 
-def _strings(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.arange(len(y))
-    at = np.argmax(np.abs(y[:, :ROOT_DIMS]), axis=1)
-    root = 2 * at + (y[rows, at] > 0)
-    a, b = y[:, ROOT_DIMS::2], y[:, ROOT_DIMS + 1 :: 2]
-    second = np.abs(b) > np.abs(a)
-    char = 2 * second + (np.where(second, b, a) > 0)
-    return root, (char.astype(np.int64) << (2 * np.arange(LEVELS)[::-1])).sum(axis=1)
 
+def partitionings_for(near: float) -> int:
+    """How many partitionings find TARGET_RECALL of the neighbours, if one finds `near` of them."""
+    return min(MOST_PARTITIONINGS, max(3, math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - min(near, 0.99)))))
 
-def tree_count(rows: int) -> int:
-    """Trees for TARGET_RECALL: the more rows, the deeper a query stops and the less likely one tree is to find a neighbour."""
-    depth = max(0.0, math.log(max(rows, 1) / (2 * ROOT_DIMS) / MIN_CANDIDATES, 4))
-    return max(3, math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - NEAR_ROOT * NEAR_LEVEL ** math.floor(depth))))
 
+def fit_forest(landmark_sample: np.ndarray, query_sample: np.ndarray, landmarks: int, queries: int, k: int = 8, radius: float = 150.0, seed: int = 5) -> Forest:
+    """A forest for so many landmarks.
 
-def fit_forest(landmark_sample: np.ndarray, query_sample: np.ndarray, landmarks: int, queries: int, seed: int = 5) -> Forest:
-    """A forest for so many rows.  The samples (SAMPLE_ROWS at most) give the centre and the sizes of the root branches."""
+    The samples (SAMPLE_ROWS and SAMPLE_QUERIES at most) give the centre, the sizes of the branches, and how
+    often a query and its neighbours in the sample share a partition, which says how many partitionings
+    are needed.  Neighbours in a sample lie farther than those among all rows, so the share errs on the low side.
+    """
     centre = landmark_sample.astype(np.float64).mean(axis=0).astype(np.float32) if len(landmark_sample) else np.zeros(DIM, np.float32)
     rng = np.random.default_rng(seed)
-    rot = [np.linalg.qr(rng.standard_normal((DIM, DIM)))[0][:, : ROOT_DIMS + 2 * LEVELS] for _ in range(tree_count(landmarks))]
-    rotations = np.stack(rot).astype(np.float32)
-    plain = Forest(centre, rotations, np.ones((len(rot), 2 * ROOT_DIMS), int), np.ones((len(rot), 2 * ROOT_DIMS), int))
-
-    def blocks(sample: np.ndarray, rows: int) -> np.ndarray:
-        share = [np.bincount(plain.strings(sample, t)[0], minlength=2 * ROOT_DIMS) / max(len(sample), 1) for t in range(len(rot))]
-        return np.maximum(1, np.ceil(np.stack(share) * rows / BLOCK_ROWS)).astype(int)
-
-    return Forest(centre, rotations, blocks(landmark_sample, landmarks), blocks(query_sample, queries))
+    turn = lambda: np.linalg.qr(rng.standard_normal((DIM, DIM)))[0].astype(np.float32)
+    rotations = np.stack([turn()[:, : ROOT_DIMS + 2 * CUT_DIMS] for _ in range(MOST_PARTITIONINGS)])
+    local = np.concatenate([turn()[:, : 2 * LEVELS] for _ in range(LOCAL_TREES)], axis=1)
+    roots, cuts = 2 * ROOT_DIMS, 2 * CUT_DIMS
+    rows_of_one = landmarks / max(len(landmark_sample), 1)
+    cut, cut_again = np.zeros((MOST_PARTITIONINGS, roots), bool), np.zeros((MOST_PARTITIONINGS, roots, cuts), bool)
+    for t in range(MOST_PARTITIONINGS):
+        y = (landmark_sample.astype(np.float32) - centre) @ rotations[t]
+        a, b = _polytope(y[:, :ROOT_DIMS]), _polytope(y[:, ROOT_DIMS : ROOT_DIMS + CUT_DIMS])
+        cut[t] = np.bincount(a, minlength=roots) * rows_of_one > BLOCK_ROWS
+        cut_again[t] = np.bincount(a * cuts + b, minlength=roots * cuts).reshape(roots, cuts) * rows_of_one > BLOCK_ROWS
+    one = np.ones((MOST_PARTITIONINGS, roots), int)
+    whole = Forest(centre, rotations, cut, cut_again, local, one, one)
+
+    def blocks(sample: np.ndarray, rows: int, most: int) -> np.ndarray:
+        out = one.copy()
+        for t in range(MOST_PARTITIONINGS if len(sample) else 0):
+            part, n = np.unique(whole.parts(sample, t), return_counts=True)
+            np.maximum.at(out[t], part >> 16, np.ceil(n * (rows / len(sample)) / most).astype(int))
+        return out
+
+    q, i, _ = k_nearest(query_sample, landmark_sample, np.arange(len(landmark_sample)), k, radius)
+    near = NEAR
+    if len(q) >= NEAR_PAIRS:
+        near = float(np.mean([np.mean(whole.parts(query_sample, t)[q] == whole.parts(landmark_sample, t)[i]) for t in range(4)]))
+    n = partitionings_for(near)
+    return Forest(centre, rotations[:n], cut[:n], cut_again[:n], local, blocks(landmark_sample, landmarks, 2 * BLOCK_ROWS)[:n], blocks(query_sample, queries, 4 * BLOCK_ROWS)[:n])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -87,25 +127,26 @@ def _binary(v: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(np.arange(0, (len(v) + 1) * DIM, DIM, dtype=np.int32)), pa.py_buffer(v)])
 
 
-_ROW = "part bigint, code int, owner bigint, row_no bigint, landmark boolean, vec binary"
+_ROW = "part bigint, owner bigint, row_no int, landmark boolean, vec binary"
 
 
 def _spread(forest: Forest, landmark: bool, owner: np.ndarray, row_no: np.ndarray, v: np.ndarray):
-    """One batch a tree: every vector in its root branch; the landmarks of a block meet every block of queries, and the other way round."""
+    """One batch a partitioning: every vector in its partition.
+
+    Of a partition still too large after its cuts, as one of a crowd of near-equal vectors is, the landmarks
+    of a block meet every block of queries, and the other way round, so nothing is lost.
+    """
     mine, other = (forest.landmark_blocks, forest.query_blocks) if landmark else (forest.query_blocks, forest.landmark_blocks)
     mix = (owner.astype(np.uint64) * np.uint64(1_000_003) + row_no.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-    for t in range(forest.trees):
-        root, code = forest.strings(v, t)
-        copies = other[t, root]
+    for t in range(forest.partitionings):
+        part = forest.parts(v, t)
+        copies = other[t, part >> 16]
         at = np.repeat(np.arange(len(v)), copies)
         there = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-        here = (mix % mine[t, root].astype(np.uint64)).astype(np.int64)[at]
+        here = (mix % mine[t, part >> 16].astype(np.uint64)).astype(np.int64)[at]
         lb, qb = (here, there) if landmark else (there, here)
-        part = ((t * 2 * ROOT_DIMS + root[at]) << 40) | (lb << 20) | qb
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array(code[at].astype(np.int32)), pa.array(owner[at]), pa.array(row_no[at]), pa.array(np.full(len(at), landmark)), _binary(v[at])],
-            ["part", "code", "owner", "row_no", "landmark", "vec"],
-        )
+        key = (((t << 24) | part[at]) << 32) | (lb << 16) | qb
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner[at]), pa.array(row_no[at].astype(np.int32)), pa.array(np.full(len(at), landmark)), _binary(v[at])], ["part", "owner", "row_no", "landmark", "vec"])
 
 
 def _spread_landmarks(forest: Forest, k: int):
@@ -150,19 +191,28 @@ def _emit(forest: Forest, held: list):
         yield from _spread(forest, False, owner, row_no, np.concatenate([v for _, v in held]))
 
 
-def nodes(sorted_codes: np.ndarray, queries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the range of `sorted_codes` below the deepest node on its path that holds `least` strings (the root if none does)."""
-    lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(sorted_codes), np.int64)
-    for level in range(LEVELS, 0, -1):  # from the longest match upwards
-        open_ = np.flatnonzero(hi - lo == len(sorted_codes))
-        if not len(open_):
-            break
-        shift = 2 * (LEVELS - level)
-        q = queries[open_] >> shift << shift
-        a, b = np.searchsorted(sorted_codes, q, "left"), np.searchsorted(sorted_codes, q + (1 << shift), "left")
-        enough = b - a >= least
-        lo[open_[enough]], hi[open_[enough]] = a[enough], b[enough]
-    return lo, hi
+def ranges(sorted_strings: np.ndarray, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the range of `sorted_strings` that share its first `depth` characters."""
+    shift = 2 * (LEVELS - depth)
+    q = queries >> shift << shift
+    return np.searchsorted(sorted_strings, q, "left"), np.searchsorted(sorted_strings, q + (1 << shift), "left")
+
+
+def ascend(landmark_strings: np.ndarray, query_strings: np.ndarray, least: int) -> np.ndarray:
+    """For each query the depth at which it stops: the deepest one, the same in every tree, where its nodes hold `least` landmarks together; 0 if none does.
+
+    `landmark_strings`: trees x landmarks, each row sorted; `query_strings`: trees x queries.
+    """
+    depth = np.zeros(query_strings.shape[1], np.int64)
+    open_ = np.arange(query_strings.shape[1])
+    for d in range(LEVELS, 0, -1):
+        held = np.zeros(len(open_), np.int64)
+        for ls, qs in zip(landmark_strings, query_strings):
+            lo, hi = ranges(ls, qs[open_], d)
+            held += hi - lo
+        depth[open_[held >= least]] = d
+        open_ = open_[held < least]
+    return depth
 
 
 def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, cells: int = 12_000_000):
@@ -183,6 +233,45 @@ def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, rad
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def forest_nearest(forest: Forest, q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, squared distance) of the up to k nearest candidates within `radius`: the landmarks below the nodes where each query stops in every tree, or all where it stops at the root."""
+    if not len(q) or not len(landmarks):
+        return (np.zeros(0, np.int64),) * 3
+    ls, qs = forest.strings(landmarks), forest.strings(q)
+    order = np.argsort(ls, axis=1, kind="stable")
+    ls = np.take_along_axis(ls, order, axis=1)
+    depth = ascend(ls, qs, least)
+    top = np.flatnonzero(depth == 0)
+    a, b, d = k_nearest(q[top], landmarks, np.arange(len(landmarks)), len(landmarks), radius)
+    found = [(top[a], b, d)]
+    l32, q32 = landmarks.astype(np.float32), q.astype(np.float32)
+    ln, qn, most = (l32 * l32).sum(1), (q32 * q32).sum(1), np.float32(math.floor(radius * radius))
+    for t in range(LOCAL_TREES):
+        lt, ln_t = l32[order[t]], ln[order[t]]
+        for at_depth in np.unique(depth[depth > 0]):
+            mine = np.flatnonzero(depth == at_depth)
+            lo, hi = ranges(ls[t], qs[t, mine], at_depth)
+            by = np.argsort(lo, kind="stable")
+            mine, lo, hi = mine[by], lo[by], hi[by]
+            cuts = np.flatnonzero(np.concatenate([[True], lo[1:] != lo[:-1], [True]]))
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                x, y = lo[s], hi[s]
+                if x == y:
+                    continue
+                g = q32[mine[s:e]] @ lt[x:y].T
+                g *= -2
+                g += ln_t[x:y]
+                a, b = np.nonzero(g <= (most - qn[mine[s:e]])[:, None])
+                found.append((mine[s:e][a], order[t, x:y][b], (g[a, b] + qn[mine[s:e][a]]).astype(np.int64)))
+    a, b, d = (np.concatenate(x) for x in zip(*found))
+    _, one = np.unique(a * len(landmarks) + b, return_index=True)  # a candidate of several trees counts once
+    a, b, d = a[one], b[one], d[one]
+    by = np.lexsort((ids[b], d, a))
+    a, b, d = a[by], b[by], d[by]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], ids[b[keep]], d[keep]
+
+
 def _once(at: np.ndarray, owner: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The rows `at` without those that repeat an owner and its vector: copies must not take the places of others."""
     at = at[np.argsort(owner[at], kind="stable")]
@@ -196,60 +285,110 @@ def _once(at: np.ndarray, owner: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.delete(at, drop)
 
 
-def _match(k: int, radius: float, least: int):
+def _match(forest: Forest, k: int, radius: float, least: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         of_landmark = t.column("landmark").to_numpy()
-        owner, row_no, code = (t.column(c).to_numpy() for c in ("owner", "row_no", "code"))
+        owner, row_no = (t.column(c).to_numpy() for c in ("owner", "row_no"))
         v = _vectors(t.column("vec"))
         l_at, q_at = _once(np.flatnonzero(of_landmark), owner, v), np.flatnonzero(~of_landmark)
-        l_at = l_at[np.argsort(code[l_at], kind="stable")]
-        lv, qv = v[l_at], v[q_at]
-        ids = owner[l_at]
-        found = []
-        if len(l_at) and len(q_at):
-            lo, hi = nodes(code[l_at].astype(np.int64), code[q_at].astype(np.int64), least)
-            ends, of = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
-            for n, (a, b) in enumerate(ends):
-                at = np.flatnonzero(of.ravel() == n)
-                i, found_ids, d = k_nearest(qv[at], lv[a:b], ids[a:b], k, radius)
-                found.append((q_at[at[i]], found_ids, d))
-        q, i, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.table({"owner": owner[q], "row_no": row_no[q], "id": i, "d2": d})
+        q, i, d = forest_nearest(forest, v[q_at], v[l_at], owner[l_at], k, radius, least)
+        return pa.table({"owner": owner[q_at[q]], "row_no": row_no[q_at[q]].astype(np.int64), "id": i, "d2": d})
 
     return run
 
 
-def similar_vectors(queries: DataFrame, landmarks: DataFrame, k: int = 8, radius: float = 150.0, min_candidates: int = MIN_CANDIDATES, query_rows: int | None = None) -> DataFrame:
+def similar_vectors(queries: DataFrame, landmarks: DataFrame, k: int = 8, radius: float = 150.0, min_candidates: int = MIN_CANDIDATES) -> DataFrame:
     """(owner, row_no, id, d2): the up to `k` landmarks nearest to each query vector, at most `radius` away.
 
     `queries`: (owner bigint, vec binary), vec being any number of 128-byte vectors, numbered from 0
     in row_no; `landmarks`: (id bigint, vec binary).  Rows with a null, or whose bytes are not whole
     vectors (landmarks: not exactly one), take no part.  Equal distances go to the smaller id.  Copies
-    of an owner or an id change nothing.  The search is approximate: a neighbour that shares no root
-    branch with the query in any tree is lost (tests and README: recall).  Empty tables give no rows.
+    of an owner or an id change nothing.  The search is approximate: a neighbour that shares no
+    partition with the query, or none of the nodes where the query stops, is lost (tests and README: recall).
+    Empty tables give no rows.
     """
     q = queries.where(F.col("owner").isNotNull() & (F.length("vec") > 0) & (F.length("vec") % DIM == 0)).select("owner", "vec")
     lm = landmarks.where(F.col("id").isNotNull() & (F.length("vec") == DIM)).select("id", "vec")
-    n_l, n_q = landmarks.count(), queries.count()
-    sample = lambda df, n, most: df.select("vec").sample(min(1.0, most / max(n, 1)), seed=3).limit(2 * most).toArrow().column(0)
-    ls = _vectors(sample(lm, n_l, SAMPLE_ROWS))
-    qs = _vectors(sample(q, n_q, SAMPLE_ROWS // 40))
-    blobs = max(1, min(n_q, SAMPLE_ROWS // 40))
-    forest = fit_forest(ls, qs[: 2 * SAMPLE_ROWS], n_l, query_rows or round(n_q * len(qs) / blobs))
+    n_l = landmarks.count()
+    n_q, q_rows = q.agg(F.count("*"), F.coalesce(F.sum(F.length("vec")), F.lit(0)) / DIM).first()
+    sample = lambda df, n, most: _vectors(df.select("vec").sample(min(1.0, most / max(n, 1)), seed=3).limit(2 * most).toArrow().column(0))
+    ls = sample(lm, n_l, SAMPLE_ROWS)
+    one = q.select(F.expr(f"substring(vec, 1 + {DIM} * (abs(hash(owner)) % (length(vec) div {DIM})), {DIM})").alias("vec"))  # one vector of each, so that whole blobs stay where they are
+    forest = fit_forest(ls, sample(one, n_q, SAMPLE_QUERIES), n_l, int(q_rows), k, radius)
     spread = lm.mapInArrow(_spread_landmarks(forest, k), _ROW).unionAll(q.mapInArrow(_explode_queries(forest), _ROW))
-    found = spread.groupBy("part").applyInArrow(_match(k, radius, min_candidates), "owner bigint, row_no bigint, id bigint, d2 bigint")
+    parts = max(1, math.ceil(forest.partitionings * (n_l + q_rows) / GROUP_ROWS))
+    spread = spread.repartition(max(parts, int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
+    found = spread.groupBy("part").applyInArrow(_match(forest, k, radius, min_candidates), "owner bigint, row_no bigint, id bigint, d2 bigint")
     once = found.groupBy("owner", "row_no", "id").agg(F.min("d2").alias("d2"))
     rank = F.row_number().over(Window.partitionBy("owner", "row_no").orderBy("d2", "id"))
     return once.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def p2_found(spark, sf_dir: str) -> DataFrame:
-    """The landmarks most like each descriptor of each image."""
+def _exact(k: int, radius: float):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        of_landmark, owner, row_no, v = t.column("landmark").to_numpy(), t.column("owner").to_numpy(), t.column("row_no").to_numpy(), _vectors(t.column("vec"))
+        l_at, q_at = _once(np.flatnonzero(of_landmark), owner, v), np.flatnonzero(~of_landmark)
+        q, i, d = k_nearest(v[q_at], v[l_at], owner[l_at], k, radius)
+        return pa.table({"owner": owner[q_at[q]], "row_no": row_no[q_at[q]].astype(np.int64), "id": i, "d2": d})
+
+    return run
+
+
+def exact_vectors(queries: DataFrame, landmarks: DataFrame, k: int = 8, radius: float = 150.0) -> DataFrame:
+    """As similar_vectors, but exact: every block of the queries meets every block of the landmarks.  For a stated query set, to measure recall."""
+    q = queries.where(F.col("owner").isNotNull() & (F.length("vec") > 0) & (F.length("vec") % DIM == 0)).select("owner", "vec")
+    rows = q.select("owner", F.posexplode(F.sequence(F.lit(0), F.expr(f"CAST(length(vec) div {DIM} AS INT) - 1"))).alias("row_no", "_"), "vec")
+    one = rows.select("owner", "row_no", F.lit(False).alias("landmark"), F.expr(f"substring(vec, 1 + {DIM} * row_no, {DIM})").alias("vec"))
+    lm = landmarks.where(F.col("id").isNotNull() & (F.length("vec") == DIM)).select(F.col("id").alias("owner"), F.lit(0).alias("row_no"), F.lit(True).alias("landmark"), "vec")
+    blocks = lambda n, most: max(1, -(-n // most))
+    nq, nl = blocks(one.count(), BLOCK_ROWS // 4), blocks(lm.count(), BLOCK_ROWS)
+    mine = lambda n: F.pmod(F.xxhash64("owner", "row_no"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = one.withColumn("qb", mine(nq)).withColumn("lb", every(nl)).unionByName(lm.withColumn("lb", mine(nl)).withColumn("qb", every(nq)))
+    found = both.groupBy("qb", "lb").applyInArrow(_exact(k, radius), "owner bigint, row_no bigint, id bigint, d2 bigint").distinct()
+    rank = F.row_number().over(Window.partitionBy("owner", "row_no").orderBy("d2", "id"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, landmarks)."""
     from terrakite.plans.stage import table
 
     d = table(spark, sf_dir, "descriptors").where("cols = 128 AND `rows` IS NOT NULL AND length(data) = `rows` * 128")
     q = d.select(F.col("image_id").cast("long").alias("owner"), F.col("data").alias("vec"))
-    lm = table(spark, sf_dir, "landmarks").select("id", F.col("desc").alias("vec"))
-    r = similar_vectors(q, lm)
-    return r.select(F.col("owner").alias("image_id"), "row_no", F.col("id").alias("landmark_id"))
+    return q, table(spark, sf_dir, "landmarks").select("id", F.col("desc").alias("vec"))
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    """The landmarks most like each descriptor of each image."""
+    return similar_vectors(*_tables(spark, sf_dir)).select(F.col("owner").alias("image_id"), "row_no", F.col("id").alias("landmark_id"))
+
+
+def p2_exact(spark, sf_dir: str) -> DataFrame:
+    """The exact answer for the images whose id is divisible by 100, against all landmarks."""
+    q, lm = _tables(spark, sf_dir)
+    return exact_vectors(q.where("owner % 100 = 0"), lm).select(F.col("owner").alias("image_id"), "row_no", F.col("id").alias("landmark_id"), "d2")
+
+
+def p2_recall(spark, sf_dir: str) -> DataFrame:
+    """One row: how many pairs the exact answer has for the images whose id is divisible by 100, whether the search finds at least nine tenths of them, and whether it finds any that is none."""
+    q, lm = _tables(spark, sf_dir)
+    some = q.where("owner % 100 = 0")
+    key = ["owner", "row_no", "id"]
+    near = similar_vectors(some, lm).select(*key, "d2").withColumn("found", F.lit(True))
+    exact = exact_vectors(some, lm).select(*key, F.col("d2").alias("exact"))
+    last = exact.groupBy("owner", "row_no").agg(F.max("exact").alias("last"))
+    far = near.join(last, ["owner", "row_no"]).agg(F.count_if(F.col("d2") > 22500).alias("far"))
+    return exact.join(near, key, "left").agg(F.count("*").alias("pairs"), (F.count("found") >= 0.9 * F.count("*")).alias("enough")).crossJoin(F.broadcast(far)).select("pairs", "enough", (F.col("far") > 0).alias("too_far"))
+
+
+_SQL = """WITH d AS (SELECT DISTINCT CAST(image_id AS BIGINT) AS image_id, "rows" AS n, hex(data) AS h FROM descriptors WHERE image_id % 100 = 0 AND cols = 128 AND octet_length(data) = "rows" * 128 AND "rows" > 0),
+ r AS (SELECT image_id, CAST(unnest(range(n)) AS BIGINT) AS row_no, h FROM d),
+ q AS (SELECT image_id, row_no, list_transform(range(128), lambda i: CAST(CAST('0x' || substr(h, 1 + 256 * row_no + 2 * i, 2) AS INT) AS DOUBLE)) AS v FROM (SELECT image_id, row_no, h FROM r)),
+ l AS (SELECT id, list_transform(range(128), lambda i: CAST(CAST('0x' || substr(h, 1 + 2 * i, 2) AS INT) AS DOUBLE)) AS w FROM (SELECT DISTINCT id, hex("desc") AS h FROM landmarks WHERE id IS NOT NULL AND octet_length("desc") = 128)),
+ p AS (SELECT image_id, row_no, id, list_distance(v, w) AS dist FROM q, l WHERE list_distance(v, w) <= 150),
+ k AS (SELECT image_id, row_no, id AS landmark_id, CAST(round(dist * dist) AS BIGINT) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY image_id, row_no ORDER BY dist, id) <= 8)"""
+EXACT_SQL = _SQL + " SELECT * FROM k"
+RECALL_SQL = _SQL + " SELECT count(*) AS pairs, true AS enough, false AS too_far FROM k"
