@@ -366,29 +366,28 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
     return similar_vectors(*_tables(spark, sf_dir)).select(F.col("owner").alias("image_id"), "row_no", F.col("id").alias("landmark_id"))
 
 
+def _hundredth(lm: DataFrame) -> DataFrame:
+    return lm.where("id % 100 = 0").select(F.col("id").alias("owner"), "vec").distinct()
+
+
 def p2_exact(spark, sf_dir: str) -> DataFrame:
-    """The exact answer for the images whose id is divisible by 100, against all landmarks."""
-    q, lm = _tables(spark, sf_dir)
-    return exact_vectors(q.where("owner % 100 = 0"), lm).select(F.col("owner").alias("image_id"), "row_no", F.col("id").alias("landmark_id"), "d2")
+    """The exact answer for the landmarks whose id is divisible by 100, against all landmarks."""
+    lm = _tables(spark, sf_dir)[1]
+    return exact_vectors(_hundredth(lm), lm).select(F.col("owner").alias("query_id"), F.col("id").alias("landmark_id"), "d2")
 
 
 def p2_recall(spark, sf_dir: str) -> DataFrame:
-    """One row: how many pairs the exact answer has for the images whose id is divisible by 100, whether the search finds at least nine tenths of them, and whether it finds any that is none."""
-    q, lm = _tables(spark, sf_dir)
-    some = q.where("owner % 100 = 0")
+    """One row: how many pairs the exact answer has for the landmarks whose id is divisible by 100, whether the search finds at least nine tenths of them, and whether it finds any that is too far."""
+    lm = _tables(spark, sf_dir)[1]
     key = ["owner", "row_no", "id"]
-    near = similar_vectors(some, lm).select(*key, "d2").withColumn("found", F.lit(True))
-    exact = exact_vectors(some, lm).select(*key, F.col("d2").alias("exact"))
-    last = exact.groupBy("owner", "row_no").agg(F.max("exact").alias("last"))
-    far = near.join(last, ["owner", "row_no"]).agg(F.count_if(F.col("d2") > 22500).alias("far"))
-    return exact.join(near, key, "left").agg(F.count("*").alias("pairs"), (F.count("found") >= 0.9 * F.count("*")).alias("enough")).crossJoin(F.broadcast(far)).select("pairs", "enough", (F.col("far") > 0).alias("too_far"))
-
-
-_SQL = """WITH d AS (SELECT DISTINCT CAST(image_id AS BIGINT) AS image_id, "rows" AS n, hex(data) AS h FROM descriptors WHERE image_id % 100 = 0 AND cols = 128 AND octet_length(data) = "rows" * 128 AND "rows" > 0),
- r AS (SELECT image_id, CAST(unnest(range(n)) AS BIGINT) AS row_no, h FROM d),
- q AS (SELECT image_id, row_no, list_transform(range(128), lambda i: CAST(CAST('0x' || substr(h, 1 + 256 * row_no + 2 * i, 2) AS INT) AS DOUBLE)) AS v FROM (SELECT image_id, row_no, h FROM r)),
- l AS (SELECT id, list_transform(range(128), lambda i: CAST(CAST('0x' || substr(h, 1 + 2 * i, 2) AS INT) AS DOUBLE)) AS w FROM (SELECT DISTINCT id, hex("desc") AS h FROM landmarks WHERE id IS NOT NULL AND octet_length("desc") = 128)),
- p AS (SELECT image_id, row_no, id, list_distance(v, w) AS dist FROM q, l WHERE list_distance(v, w) <= 150),
- k AS (SELECT image_id, row_no, id AS landmark_id, CAST(round(dist * dist) AS BIGINT) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY image_id, row_no ORDER BY dist, id) <= 8)"""
+    near = similar_vectors(_hundredth(lm), lm).select(*key, "d2").withColumn("found", F.lit(True))
+    exact = exact_vectors(_hundredth(lm), lm).select(*key)
+    both = exact.withColumn("true", F.lit(True)).join(near, key, "full")
+    return both.agg(F.count("true").alias("pairs"), (F.count_if(F.col("true") & F.col("found")) >= 0.9 * F.count("true")).alias("enough"), (F.count_if(F.col("d2") > 22500) > 0).alias("too_far"))
+
+
+_SQL = """WITH l AS (SELECT id, list_transform(range(128), lambda i: CAST(CAST('0x' || substr(h, 1 + 2 * i, 2) AS INT) AS DOUBLE)) AS v FROM (SELECT DISTINCT id, hex("desc") AS h FROM landmarks WHERE id IS NOT NULL AND octet_length("desc") = 128)),
+ p AS (SELECT q.id AS query_id, l.id AS landmark_id, list_distance(q.v, l.v) AS dist FROM l q, l WHERE q.id % 100 = 0 AND list_distance(q.v, l.v) <= 150),
+ k AS (SELECT query_id, landmark_id, CAST(round(dist * dist) AS BIGINT) AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, landmark_id) <= 8)"""
 EXACT_SQL = _SQL + " SELECT * FROM k"
 RECALL_SQL = _SQL + " SELECT count(*) AS pairs, true AS enough, false AS too_far FROM k"
