@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
 LEAF_CHARS = 4096
@@ -201,3 +202,12 @@ def p6_ids(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> Dat
     from terrakite.plans.stage import table
 
     return encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", vocabulary(folder=folder))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Every document's text decoded from its ids, and how many characters it has: empty for a null text."""
+    back = decode_column(p6_ids(spark, sf_dir, folder), "doc_id", "ids", vocabulary(folder=folder))
+    return back.select("doc_id", "text", F.length("text").cast("long").alias("n"))
+
+
+DECODED_SQL = "SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents"
