@@ -19,20 +19,25 @@ BLOCK_ROWS = 4096
 def k_nearest(queries: DataFrame, train: DataFrame, k: int, query_key: str, train_key: str, vector: str, group: str | None = None, radius: float | None = None) -> DataFrame:
     """(query_key, train_key, distance, rank): the k nearest train rows of every query row by Euclidean distance, exact.
 
-    Both sides are cut into blocks by key; a pair of blocks is one matrix product that keeps the k
-    best per query, and the survivors of all blocks are ranked.  `group`: a column of both sides;
-    only rows of one group are compared (the spatial candidates of an image, say).  `radius`: only
-    rows at most so far.  Equal distances go to the smaller key.  Null keys or vectors take no part;
-    vectors of another length than the query's are no candidates.
+    Both sides are cut into blocks by key; a pair of blocks is one matrix product, whose few best per query are
+    measured exactly, and the survivors of all blocks are ranked.  `group`: a column of both sides; only rows of
+    one group are compared (the spatial candidates of an image, say), and blocks are counted in each group, so
+    a row goes only to the blocks of its own.  `radius`: only rows at most so far.  Equal distances go to the
+    smaller key; rows of one key and vector count once.  Null keys or vectors take no part; vectors of
+    another length than the query's are no candidates.
     """
-    n_q, n_t = queries.count(), train.count()
-    bq, bt = max(1, -(-n_q // BLOCK_ROWS)), max(1, -(-n_t // BLOCK_ROWS))
     g = F.col(group).cast("string") if group else F.lit("")
-    side = lambda df, key, is_q: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (g.isNotNull())).select(g.alias("g"), F.lit(is_q).alias("q"), F.col(key).cast("long").alias("key"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    mine = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = side(queries, query_key, True).withColumn("bq", mine(bq)).withColumn("bt", every(bt))
-    t = side(train, train_key, False).withColumn("bt", mine(bt)).withColumn("bq", every(bq))
+    side = lambda df, key, is_q: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & g.isNotNull()).select(g.alias("g"), F.lit(is_q).alias("q"), F.col(key).cast("long").alias("key"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    q, t = side(queries, query_key, True), side(train, train_key, False)
+    count = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    blocks = count(q, "nq").join(count(t, "nt"), "g")  # groups that one side lacks go with the join
+    if not group:
+        blocks = F.broadcast(blocks)  # one row
+    mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(blocks, "g").withColumn("bq", mine("nq")).withColumn("bt", every("nt"))
+    t = t.join(blocks, "g").withColumn("bt", mine("nt")).withColumn("bq", every("nq"))
+    columns = ["g", "q", "key", "v", "bq", "bt"]
 
     def block(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         qs, ts = df[df.q], df[~df.q].sort_values("key")
@@ -41,23 +46,37 @@ def k_nearest(queries: DataFrame, train: DataFrame, k: int, query_key: str, trai
             cand = ts[ts.v.map(len) == length]
             if not len(cand) or not length:
                 continue
-            a, b = np.stack(part.v.to_numpy()), np.stack(cand.v.to_numpy())
-            keys = cand.key.to_numpy()
-            for i, row in zip(part.key.to_numpy(), a):
-                d = np.sqrt(((b - row) ** 2).sum(1))
-                at = np.argsort(d, kind="stable")
-                # equal keys are copies of one row
-                _, first = np.unique(keys[at], return_index=True)
-                at = at[np.sort(first)][:k]
-                at = at[d[at] <= radius] if radius is not None else at
-                out.append(pd.DataFrame({query_key: i, train_key: keys[at], "distance": d[at]}))
+            a, b, of, keys = np.stack(part.v.to_numpy()), np.stack(cand.v.to_numpy()), part.key.to_numpy(), cand.key.to_numpy()
+            again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (b[1:] == b[:-1]).all(1)])
+            b, keys = b[~again], keys[~again]
+            row, col, d = _nearest(a, b, k + int((keys[1:] == keys[:-1]).sum()), radius)
+            found = pd.DataFrame({query_key: of[row], train_key: keys[col], "distance": d}).sort_values([query_key, "distance", train_key])
+            out.append(found.drop_duplicates([query_key, train_key]).groupby(query_key).head(k))
         return pd.concat(out) if out else pd.DataFrame({query_key: pd.Series(dtype="int64"), train_key: pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
 
-    found = q.unionByName(t).groupBy("g", "bq", "bt").applyInPandas(block, f"{query_key} long, {train_key} long, distance double").distinct()
+    found = q.select(columns).unionByName(t.select(columns)).groupBy("g", "bq", "bt").applyInPandas(block, f"{query_key} long, {train_key} long, distance double")
+    found = found.groupBy(query_key, train_key).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy(query_key).orderBy("distance", train_key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, radius: float | None, cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of at least the k nearest of each row, ties included."""
+    an, bn, out = (a * a).sum(1), (b * b).sum(1), []
+    slack = 1e-9 * (an.max(initial=0.0) + bn.max(initial=0.0)) + 1e-12  # what the product may be off by
+    for s in range(0, len(a), max(1, cells // max(len(b), 1))):
+        x = a[s : s + max(1, cells // max(len(b), 1))]
+        g = an[s : s + len(x), None] + bn - 2 * (x @ b.T)
+        most = np.partition(g, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(x), np.inf)
+        if radius is not None:
+            most = np.minimum(most, radius * radius)
+        row, col = np.nonzero(g <= (most + 2 * slack)[:, None])
+        d = np.sqrt(((x[row] - b[col]) ** 2).sum(1))
+        ok = d <= radius if radius is not None else np.ones(len(d), bool)
+        out.append((row[ok] + s, col[ok], d[ok]))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
 def split_matches(neighbours: DataFrame, query_key: str, max_distance: float = MAX_DISTANCE, ratio: float = RATIO) -> DataFrame:
     """`neighbours` that are accepted, with `passed`.
 

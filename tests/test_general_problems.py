@@ -159,6 +159,19 @@ def test_spikes_empty(spark):
     assert spikes.implausible_fixes(spark.createDataFrame([], GPS)).collect() == []
 
 
+def test_phase_space_with_given_axes_and_complex_residuals():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 1, 400) + 1j * rng.normal(0, 1, 400)
+    z[[50, 51, 300]] = [40, -35j, 60 + 10j]
+    usual = float(np.median(np.abs(z)))
+    lam = 1.4826 * np.sqrt(2 * np.log(400))
+    d1, d2 = spikes.differences(z)
+    hit = spikes.phase_space_outliers(z, axes=(lam * usual, lam * np.median(np.abs(d1)), lam * np.median(np.abs(d2))))
+    assert hit[[50, 51, 300]].all() and hit.sum() < 30
+    one = np.array([12.0])
+    assert spikes.phase_space_outliers(one, axes=(1.0, 0.0, 0.0)).all() and not spikes.phase_space_outliers(np.array([0.5]), axes=(1.0, 0.0, 0.0)).any()
+
+
 def test_phase_space():
     rng = np.random.default_rng(0)
     v = rng.normal(0, 1, 500)
