@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrakite.operators import near, orphans, spikes
-from terrakite.plans import state_queries
+from terrakite.plans import pose_queries, scene_queries, state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {
     "p3_stuck": spikes.p3_stuck,
     "p5_found": orphans.p5_found,
     "p5_report": orphans.p5_report,
-} | state_queries.QUERIES
+} | state_queries.QUERIES | pose_queries.QUERIES | scene_queries.QUERIES
 
 #: p1_found in SQL: an equi-join over cells of the radius; p3_found has no SQL form and is tested by brute force.
 SQL: dict[str, str] = {
@@ -27,4 +27,4 @@ SQL: dict[str, str] = {
     "p3_stuck": spikes.STUCK_SQL,
     "p5_found": orphans.FOUND_SQL,
     "p5_report": orphans.REPORT_SQL,
-} | state_queries.SQL
+} | state_queries.SQL | pose_queries.SQL | scene_queries.SQL
