@@ -60,17 +60,33 @@ def recorded_observations(landmarks: DataFrame, seen: DataFrame, key: str = "id"
     """(key, lx, lz, ux, uz, sightings, last_seen): landmarks after recording sightings one by one.
 
     Each sighting adds a square about its camera whose side is twice the horizontal distance;
-    last_seen is the time of the last by `order`.  Landmarks without sightings are left out.
+    last_seen is the time of the last by `order`, and so is `orientation`, if `seen` has one.  Landmarks
+    without sightings are left out.
     """
-    j = landmarks.select(key, "x", "z").join(seen.select(key, "cx", "cz", "t", order), key)
+    turned = ["orientation"] if "orientation" in seen.columns else []
+    j = landmarks.select(key, "x", "z").join(seen.select(key, "cx", "cz", "t", order, *turned), key)
     half = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("z") - F.col("cz")) * (F.col("z") - F.col("cz")))
     j = j.withColumn("_h", half)
     return j.groupBy(key).agg(
         F.min(F.col("cx") - F.col("_h")).alias("lx"), F.min(F.col("cz") - F.col("_h")).alias("lz"), F.max(F.col("cx") + F.col("_h")).alias("ux"), F.max(F.col("cz") + F.col("_h")).alias("uz"),
-        F.count("*").alias("sightings"), F.max_by("t", F.col(order)).alias("last_seen"),
+        F.count("*").alias("sightings"), F.max_by("t", F.col(order)).alias("last_seen"), *[F.max_by(c, F.col(order)).alias(c) for c in turned],
     )
 
 
+def window_landmarks(observations: DataFrame, keyframes: DataFrame, size: int, group: str = "session_id", order: str = "n", frame: str = "frame_id", landmark: str = "landmark_id") -> DataFrame:
+    """(group, frame, landmarks, observations): what the window of the last `size` keyframes up to each one holds.
+
+    `keyframes`: group, frame and `order`, whole numbers without gaps in each group.  A landmark counts once as long as
+    one keyframe of the window sees it.  Every observation is copied to the `size` windows it is in and
+    counted per landmark before the shuffle.  A window without observations has 0 of both.
+    """
+    k = keyframes.select(group, frame, order)
+    o = observations.select(frame, landmark).join(k, frame)
+    in_windows = o.select(group, landmark, F.explode(F.sequence(F.col(order), F.col(order) + (size - 1))).alias(order))
+    held = in_windows.groupBy(group, order, landmark).agg(F.count("*").alias("c")).groupBy(group, order).agg(F.count("*").alias("landmarks"), F.sum("c").alias("observations"))
+    return k.join(held, [group, order], "left").select(group, frame, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("landmarks", "observations")])
+
+
 def frame_stats(observations: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(frame_id, landmarks, usable): landmarks seen per frame and how many of them are usable."""
     l = landmarks.select(F.col("id").alias("landmark_id"), (F.coalesce(F.col("sightings"), F.lit(0)) >= USABLE_SIGHTINGS).alias("_u"))  # noqa: E741

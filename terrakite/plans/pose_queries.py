@@ -5,6 +5,7 @@ Every frame is turned about the vertical axis by an angle of its own, so that no
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from terrakite.functions import camera, se3
 from terrakite.operators import aggregates as ag
 from terrakite.plans.map_queries import QUERIES, SQL, query, r
-from terrakite.plans.stage import _shared_dir, table
+from terrakite.plans.stage import _shared_dir, _written, table
 from terrakite.plans.views import CENTRE_X, CENTRE_Y, FOCAL, view
-from terrakite.sources import graph_text, session, sfm_text
+from terrakite.sources import graph_text, session, sfm_sqlite, sfm_text
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -157,11 +158,55 @@ def octave_scales(spark, d):
     return o.select("landmark_id", "frame_id", "seq", r(camera.full_resolution(F.col("u"), octave)).alias("full_u"), r(camera.octave_space(F.col("u"), octave)).alias("octave_u"))
 
 
+@query(f"""WITH {_P}, {_SEEN}, h AS (SELECT landmark_id AS id, t, frame_id, seq, u, v, cx, cz, sqrt((x - cx) * (x - cx) + (z - cz) * (z - cz)) AS h FROM (SELECT o.landmark_id, o.t, o.seq, o.u, o.v, o.cx, o.cz, o.x, o.z, o.frame_id FROM o) w)
+ SELECT id, round(min(cx - h), 6) AS lx, round(max(cz + h), 6) AS uz, count(*) AS sightings, arg_max(u, t * 1000000000 + frame_id * 10 + seq) AS normal_x, arg_max(v, t * 1000000000 + frame_id * 10 + seq) AS normal_y FROM h GROUP BY 1""".replace("t * 1000000000", "CAST(t AS HUGEINT) * 1000000000"))
+def landmark_orientation_latest(spark, d):
+    o = _seen(spark, d).select(F.col("landmark_id").alias("id"), "t", "cx", "cz", F.array("u", "v", F.lit(0.0)).alias("orientation"), F.struct("t", "frame_id", "seq").alias("order"))
+    b = ag.recorded_observations(view(spark, d, "fx_landmarks"), o, order="order")
+    return b.select("id", r(F.col("lx")).alias("lx"), r(F.col("uz")).alias("uz"), "sightings", F.get("orientation", F.lit(0)).alias("normal_x"), F.get("orientation", F.lit(1)).alias("normal_y"))
+
+
+@query(f"""WITH {_P}, {_SEEN}, g AS (SELECT landmark_id AS id, greatest(3, 0.2 * max(sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y) + (cz - z) * (cz - z)))) AS m, min(cx) AS x0, max(cx) AS x1, min(cz) AS z0, max(cz) AS z1 FROM o GROUP BY 1)
+ SELECT id, round(x0 - m, 6) AS lx, round(z0 - m, 6) AS lz, round(x1 + m, 6) AS ux, round(z1 + m, 6) AS uz FROM g""")
+def landmark_bounds_stored(spark, d):
+    x, y, z = se3.position(F.col("pose"))
+    seen = _seen(spark, d).select(F.col("landmark_id").alias("id"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    l = view(spark, d, "fx_landmarks").join(seen.select("id").distinct(), "id", "left_semi")  # noqa: E741
+    return ag.camera_bounds(l, seen).select("id", *[r(F.col(c)).alias(c) for c in ("lx", "lz", "ux", "uz")])
+
+
+@query("""WITH k AS (SELECT session_id, frame_id, row_number() OVER (PARTITION BY session_id ORDER BY t, frame_id) AS n FROM fx_frames), w AS (SELECT k.session_id, k.n, o.landmark_id FROM k JOIN fx_observations o ON o.frame_id = k.frame_id)
+ SELECT k.session_id, k.frame_id, count(DISTINCT w.landmark_id) AS landmarks, count(w.landmark_id) AS observations FROM k LEFT JOIN w ON w.session_id = k.session_id AND w.n > k.n - 10 AND w.n <= k.n GROUP BY 1, 2""")
+def window_landmarks(spark, d):
+    k = view(spark, d, "fx_frames").withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("t", "frame_id")))
+    return ag.window_landmarks(view(spark, d, "fx_observations"), k, 10)
+
+
+@query("""WITH p AS (SELECT frame_id, lead(frame_id) OVER (ORDER BY frame_id) AS n FROM fx_frames) SELECT (frame_id + 1) * 2147483647 + n + 1 AS pair_id, frame_id + 1 AS first, n + 1 AS second FROM p WHERE n IS NOT NULL AND (frame_id + 1) % 5 <> 0""")
+def missing_pairs(spark, d):
+    f = _turned(spark, d).select(F.col("frame_id").alias("id"), F.col("pose").alias("extrinsics"))
+    every = sfm_sqlite.missing_pairs(f, spark.createDataFrame([], "pair_id bigint"))
+    stored = every.where("first % 5 = 0").select("pair_id")
+    return sfm_sqlite.missing_pairs(f, stored).select("pair_id", "first", "second")
+
+
+@query("SELECT CAST(frame_id + 1 AS INT) AS image_id, lpad(CAST(frame_id AS VARCHAR), 8, '0') || '_image.jpeg' AS name FROM fx_frames WHERE frame_id < 100000000")
+def model_database(spark, d):
+    path = "/" + _folder(spark, ".db").removeprefix("file:").lstrip("/")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    f = _turned(spark, d).where("frame_id < 100000000").select(F.col("frame_id").alias("id"), F.array(*[F.lit(float(i)) for i in range(9)]).alias("intrinsics"), F.col("pose").alias("extrinsics"))
+    sfm_sqlite.create_database(f, path)
+    return sfm_sqlite.read_database(spark, path)[0].select("image_id", "name")
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    return f"{_shared_dir(spark)}/terrakite-files-{uuid.uuid4().hex}"
+def _folder(spark, end: str = "") -> str:
+    """A new path in the shared folder; it goes when the driver ends."""
+    path = f"{_shared_dir(spark)}/terrakite-files-{uuid.uuid4().hex}{end}"
+    _written.append((spark, path))
+    return path
 
 
 def _session(spark, d) -> session.Session:

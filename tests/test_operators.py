@@ -184,3 +184,13 @@ def test_numbering_without_one_big_sort(spark):
     assert [(r.a, r.b) for r in sorted(got.collect(), key=lambda r: r.n)] == sorted(v, key=lambda x: (-x[0], x[1]))
     assert sorted(r.n for r in got.collect()) == list(range(1, 201))
     assert numbered(spark.createDataFrame([], "a int"), "n", "a").collect() == []
+
+
+def test_window_landmarks(spark):
+    from terrakite.operators.aggregates import window_landmarks
+
+    k = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 20, 1)], "session_id bigint, frame_id bigint, n int")
+    o = spark.createDataFrame([(10, 5), (10, 6), (11, 5), (99, 5), (None, 5)], "frame_id bigint, landmark_id bigint")
+    got = {r.frame_id: (r.landmarks, r.observations) for r in window_landmarks(o, k, 2).collect()}
+    assert got == {10: (2, 2), 11: (2, 3), 12: (1, 1), 20: (0, 0)}
+    assert window_landmarks(o.limit(0), k.limit(0), 2).collect() == []
