@@ -64,7 +64,8 @@ def spatial_range_join(spark, d):
 
 @query(f"SELECT frame_id, id, sightings FROM {_PAIRS} QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY sightings DESC, id) <= 3")
 def spatial_topk_per_query(spark, d):
-    return spatial.top_per_query(_pairs(spark, d), "frame_id", 3).select("frame_id", "id", "sightings")
+    f = view(spark, d, "fx_frames").select("frame_id", "cx", "cz")
+    return spatial.top_range_join(f, view(spark, d, "fx_landmarks"), "frame_id", "id", spatial.query_square(F.col("cx"), F.col("cz"), 4.0), Rect.named(), 8.0, 3)
 
 
 @query("SELECT id, sightings FROM fx_landmarks ORDER BY sightings DESC, id LIMIT 262143")

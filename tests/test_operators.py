@@ -194,3 +194,26 @@ def test_window_landmarks(spark):
     got = {r.frame_id: (r.landmarks, r.observations) for r in window_landmarks(o, k, 2).collect()}
     assert got == {10: (2, 2), 11: (2, 3), 12: (1, 1), 20: (0, 0)}
     assert window_landmarks(o.limit(0), k.limit(0), 2).collect() == []
+
+
+def test_top_range_join_is_the_top_of_the_range_join(spark):
+    from terrakite.operators import spatial
+    from terrakite.functions.rects import Rect
+
+    rng = np.random.default_rng(8)
+    left = [(i, *map(float, rng.uniform(0, 40, 2))) for i in range(120)] + [(500, None, 1.0), (501, float("nan"), 1.0)]
+    right = [(i, *(lambda x, z, h: (x - h, z - h, x + h, z + h))(*map(float, rng.uniform(0, 40, 2)), float(rng.choice([0.5, 3.0, 9.0]))), int(rng.integers(0, 5)) if i % 11 else None) for i in range(300)] + [(900, 5.0, 5.0, 1.0, 9.0, 9), (901, None, 1.0, 2.0, 2.0, 9)]
+    l = spark.createDataFrame(left, "q bigint, cx double, cz double")  # noqa: E741
+    r = spark.createDataFrame(right, "id bigint, lx double, lz double, ux double, uz double, sightings int")
+    square = spatial.query_square(F.col("cx"), F.col("cz"), 4.0)
+    want = sorted(map(tuple, spatial.top_per_query(spatial.range_join(l, r, square, Rect.named(), 5.0), "q", 3).select("q", "id", "sightings").collect()), key=str)
+    old = spatial.BLOCK_LEFT, spatial.BLOCK_RIGHT
+    for left_rows, right_rows in (old, (7, 9)):
+        spatial.BLOCK_LEFT, spatial.BLOCK_RIGHT = left_rows, right_rows
+        try:
+            got = sorted(map(tuple, spatial.top_range_join(l, r, "q", "id", square, Rect.named(), 5.0, 3).collect()), key=str)
+        finally:
+            spatial.BLOCK_LEFT, spatial.BLOCK_RIGHT = old
+        assert got == want
+    assert spatial.top_range_join(l.limit(0), r, "q", "id", square, Rect.named(), 5.0, 3).collect() == []
+    assert spatial.top_range_join(l, r, "q", "id", square, Rect.named(), 5.0, 0).collect() == []
