@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from terrakite.functions import camera, se3
 from terrakite.operators.aggregates import USABLE_SIGHTINGS, most_connected_frame
-from terrakite.plans.stage import staged
+from terrakite.plans.stage import arrow_groups, discard, staged
 
 #: Kernel width, rounds of (iterations, outlier limit), odometry factor.
 HUBER = 5.991**0.5
 POSE_ITERATIONS = 50
+BUCKET_ROWS = 50_000  # no fixed value: observations of a group
 ROUNDS = ((300, 7.378), (100, 5.991), (60, 4.605), (60, 3.841))
 LAST = (100, 3.841)
 ODOMETRY_FACTOR = 2.3
@@ -225,10 +226,12 @@ _BLOCKS = "i long, j long, cost double, h array<double>, b array<double>"
 class Problem:
     """Observations (landmark_id, frame_id, u, v, info, level) and points (landmark_id, x, y, z) in Spark, cameras on the driver."""
 
-    def __init__(self, cams: Cameras, observations: DataFrame, points: DataFrame, buckets: int = 64):
-        self.cams, self.buckets = cams, buckets
+    def __init__(self, cams: Cameras, observations: DataFrame, points: DataFrame, buckets: int | None = None):
+        """`buckets`: groups of landmarks that are summed in one task; by default one for BUCKET_ROWS observations, at least one a core."""
+        self.cams = cams
         self.obs = staged(observations.select("landmark_id", "frame_id", "u", "v", "info", F.lit(0).alias("level")), "observations")
         self.points = staged(points.select("landmark_id", "x", "y", "z"), "points")
+        self.buckets = buckets or arrow_groups(observations.sparkSession, self.obs.count(), BUCKET_ROWS)
 
     def _rows(self, points: DataFrame) -> DataFrame:
         return self.obs.join(points, "landmark_id").withColumn("_b", F.pmod(F.xxhash64("landmark_id"), F.lit(self.buckets)))
@@ -272,10 +275,14 @@ class Problem:
             new, nh, nb = self.system(cams, points, damping, points_free)
             if new < cost:
                 small = cost - new <= stop * cost
+                if points_free:
+                    discard(self.points)
                 self.cams, self.points, cost, h, b, damping = cams, points, new, nh, nb, max(damping / 5, 1e-9)
                 if small:
                     break
             else:
+                if points_free:
+                    discard(points)
                 damping *= 10
                 if damping > 1e6:
                     break
@@ -296,7 +303,8 @@ class Problem:
     def mark(self, limit: float) -> None:
         """Observations beyond `limit` leave the next round; those within come back."""
         e = self.errors().groupBy("landmark_id", "frame_id").agg(F.max("chi2").alias("chi2"))
-        self.obs = staged(self.obs.drop("level").join(e, ["landmark_id", "frame_id"]).withColumn("level", (F.col("chi2") > limit).cast("int")).drop("chi2"), "observations")
+        old, self.obs = self.obs, staged(self.obs.drop("level").join(e, ["landmark_id", "frame_id"]).withColumn("level", (F.col("chi2") > limit).cast("int")).drop("chi2"), "observations")
+        discard(old)
 
 
 @dataclass
@@ -316,7 +324,7 @@ def observation_rows(observations: DataFrame, landmarks: DataFrame) -> DataFrame
     return o.groupBy("landmark_id", "frame_id").agg(F.min_by("u", F.struct("u", "v")).alias("u"), F.min_by("v", F.struct("u", "v")).alias("v"), F.min_by("info", F.struct("u", "v")).alias("info"))
 
 
-def refine(frames: DataFrame, landmarks: DataFrame, observations: DataFrame, start: dict[int, np.ndarray] | None = None, rounds=ROUNDS, pose_iterations: int = POSE_ITERATIONS, last=LAST, buckets: int = 64) -> Refined:
+def refine(frames: DataFrame, landmarks: DataFrame, observations: DataFrame, start: dict[int, np.ndarray] | None = None, rounds=ROUNDS, pose_iterations: int = POSE_ITERATIONS, last=LAST, buckets: int | None = None) -> Refined:
     """The whole schedule: poses alone, rounds of everything with outliers taken out, a last round.
 
     frames: id, intrinsics, extrinsics; landmarks: id, x, y, z, sightings; observations: landmark_id,

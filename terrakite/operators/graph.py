@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrakite.functions.rects import Rect
 from terrakite.operators.spatial import find
-from terrakite.plans.stage import staged
+from terrakite.plans.stage import discard, staged
 
 
 def weighted_edges(anchors: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def shortest_costs(anchors: DataFrame, edges: DataFrame, start: int, cut_every:
     w = staged(weighted_edges(anchors, edges), "edges")
     best = anchors.where(F.col("id") == start).select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"))
     best, n = staged(best, "costs"), 0
-    frontier = best
+    frontier, held = best, [best]  # the tables that `best` is made of
     while True:
         step = frontier.join(w, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("via"))
         offer = step.groupBy("id").agg(F.min(F.struct("cost", "via")).alias("o")).select("id", "o.cost", "o.via")
@@ -38,8 +38,11 @@ def shortest_costs(anchors: DataFrame, edges: DataFrame, start: int, cut_every:
             return best
         best = best.join(better.select("id"), "id", "left_anti").unionByName(better)
         n += 1
+        held.append(better)
         if n % cut_every == 0:
             best = staged(best, "costs")
+            discard(*held[:-1])  # the frontier is still read
+            held = [better, best]
         frontier = better
 
 

@@ -82,13 +82,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back.
 
     Cuts the lineage with a copy that outlives any executor, so that a result used by several
-    later steps is computed once.  Written tables go when the driver ends.
+    later steps is computed once.  Written tables go when they are discarded or the driver ends.
     """
     spark = df.sparkSession
     path = f"{_shared_dir(spark)}/terrakite-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._terrakite_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of staged tables that nothing reads any more, as loops do with the round before.  Other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_terrakite_path", None)
+        if path and (df.sparkSession, path) in _written:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _written.remove((df.sparkSession, path))
 
 
 def first_delivery(df: DataFrame, key: str, *columns: str, arrival: str = "received_at") -> DataFrame:

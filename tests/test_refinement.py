@@ -142,3 +142,16 @@ def test_features_follow_the_image(spark):
     df = spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary")
     out = sift.extract(df).collect()
     assert {r.image_id for r in out} == {1} and len(out) == len(k1)
+
+
+def test_tables_of_earlier_rounds_are_removed(spark):
+    from terrakite.plans import stage
+
+    x, poses, uv = scene()
+    frames, lm, obs, start, _ = tables(spark, x, poses, uv)
+    held = len(stage._written)
+    r = bundle.refine(frames, lm, obs, start, rounds=((3, 7.378), (2, 5.991)), pose_iterations=2, last=(2, 5.991))
+    assert len(stage._written) == held + 2 and r.errors.count() > 0 and r.points.count() == 60
+    gone = stage.staged(lm, "gone")
+    stage.discard(gone, lm, None)
+    assert len(stage._written) == held + 2
