@@ -1,9 +1,10 @@
 """Most similar vectors for every vector: a hash-prefix forest over byte vectors.
 
 Every vector gets long hash strings.  Their first character, the largest of many rotated coordinates
-and its sign, decides the partition; a branch too large for one task is cut by further characters of the same
-kind.  A few such partitionings, by different rotations, make it likely that neighbours meet.  In a
-partition a forest of LOCAL_TREES trees stands over its landmarks: a sorted array of strings each, of
+and its sign, decides the partition; only a branch too large for the memory of one task is cut by further
+characters of the same kind, as every cut parts neighbours.  A few such partitionings, by different rotations, make
+it likely that neighbours meet.  Vectors go to them in compressed chunks.  In a partition a forest of LOCAL_TREES trees,
+others in each partitioning, stands over its landmarks: a sorted array of strings each, of
 characters from pairs of further coordinates.  A query descends every tree to its longest matching prefix
 and ascends all of them together, a character at a time, until at least MIN_CANDIDATES lie below its nodes.
 Distances to the candidates are exact integers from one matrix product for all queries at a node.
@@ -26,10 +27,14 @@ LOCAL_TREES = 6
 LEVELS = 12  # characters of a local string, 4 values each
 MIN_CANDIDATES = 1024
 BLOCK_ROWS = 50_000
+LANDMARKS_MOST, QUERIES_MOST = 7, 10  # BLOCK_ROWS that one task holds; a branch of more landmarks is cut
+CHUNK_ROWS = 65_536  # rows that are dealt out to chunks together
 SAMPLE_ROWS = 20_000
 SAMPLE_QUERIES = 2_000
 NEAR = 0.68  # chance that a true neighbour shares the first character, where the samples have too few neighbours to measure it
+NEAR_CUT = 0.78  # the same for a second or third character, given those before it
 NEAR_PAIRS = 500
+LEAST_PARTITIONINGS = 4
 MOST_PARTITIONINGS = 12
 TARGET_RECALL = 0.96
 GROUP_ROWS = 20_000
@@ -49,7 +54,7 @@ class Forest:
     rotations: np.ndarray  # partitionings x DIM x (ROOT_DIMS + 2 * CUT_DIMS)
     cut: np.ndarray  # partitionings x roots
     cut_again: np.ndarray  # partitionings x roots x second characters
-    local: np.ndarray  # DIM x (LOCAL_TREES * LEVELS * 2)
+    local: np.ndarray  # partitionings x DIM x (LOCAL_TREES * LEVELS * 2)
     landmark_blocks: np.ndarray  # partitionings x roots
     query_blocks: np.ndarray
 
@@ -65,13 +70,17 @@ class Forest:
         most = more & self.cut_again[t, a, b]
         return (a << 16) | np.where(more, (b + 1) << 8, 0) | np.where(most, c + 1, 0)
 
-    def strings(self, v: np.ndarray) -> np.ndarray:
-        """LOCAL_TREES x rows: the local strings as numbers in base 4."""
-        y = ((v.astype(np.float32) - self.centre) @ self.local).reshape(len(v), LOCAL_TREES, LEVELS, 2)
-        a, b = y[..., 0], y[..., 1]
-        second = np.abs(b) > np.abs(a)
-        char = 2 * second + (np.where(second, b, a) > 0)
-        return (char.astype(np.int64) << (2 * np.arange(LEVELS)[::-1])).sum(axis=2).T
+    def strings(self, v: np.ndarray, t: int = 0) -> np.ndarray:
+        """LOCAL_TREES x rows: the local strings of partitioning `t` as numbers in base 4."""
+        out = np.zeros((LOCAL_TREES, len(v)), np.int64)
+        for s in range(0, len(v), 8192):
+            x = v[s : s + 8192]
+            y = ((x.astype(np.float32) - self.centre) @ self.local[t]).reshape(len(x), LOCAL_TREES, LEVELS, 2)
+            a, b = y[..., 0], y[..., 1]
+            second = np.abs(b) > np.abs(a)
+            char = 2 * second + (np.where(second, b, a) > 0)
+            out[:, s : s + 8192] = (char.astype(np.int64) << (2 * np.arange(LEVELS)[::-1])).sum(axis=2).T
+        return out
 
 
 def partitionings_for(near: float) -> int:
@@ -90,31 +99,35 @@ def fit_forest(landmark_sample: np.ndarray, query_sample: np.ndarray, landmarks:
     rng = np.random.default_rng(seed)
     turn = lambda: np.linalg.qr(rng.standard_normal((DIM, DIM)))[0].astype(np.float32)
     rotations = np.stack([turn()[:, : ROOT_DIMS + 2 * CUT_DIMS] for _ in range(MOST_PARTITIONINGS)])
-    local = np.concatenate([turn()[:, : 2 * LEVELS] for _ in range(LOCAL_TREES)], axis=1)
+    local = np.stack([np.concatenate([turn()[:, : 2 * LEVELS] for _ in range(LOCAL_TREES)], axis=1) for _ in range(MOST_PARTITIONINGS)])
     roots, cuts = 2 * ROOT_DIMS, 2 * CUT_DIMS
     rows_of_one = landmarks / max(len(landmark_sample), 1)
     cut, cut_again = np.zeros((MOST_PARTITIONINGS, roots), bool), np.zeros((MOST_PARTITIONINGS, roots, cuts), bool)
     for t in range(MOST_PARTITIONINGS):
         y = (landmark_sample.astype(np.float32) - centre) @ rotations[t]
         a, b = _polytope(y[:, :ROOT_DIMS]), _polytope(y[:, ROOT_DIMS : ROOT_DIMS + CUT_DIMS])
-        cut[t] = np.bincount(a, minlength=roots) * rows_of_one > BLOCK_ROWS
-        cut_again[t] = np.bincount(a * cuts + b, minlength=roots * cuts).reshape(roots, cuts) * rows_of_one > BLOCK_ROWS
+        cut[t] = np.bincount(a, minlength=roots) * rows_of_one > LANDMARKS_MOST * BLOCK_ROWS
+        cut_again[t] = np.bincount(a * cuts + b, minlength=roots * cuts).reshape(roots, cuts) * rows_of_one > LANDMARKS_MOST * BLOCK_ROWS
     one = np.ones((MOST_PARTITIONINGS, roots), int)
     whole = Forest(centre, rotations, cut, cut_again, local, one, one)
 
-    def blocks(sample: np.ndarray, rows: int, most: int) -> np.ndarray:
+    def blocks(sample: np.ndarray, rows: int, most: int, whole_up_to: int) -> np.ndarray:
+        """Blocks of `most` rows for what has more than `whole_up_to`: a block costs copies of all rows of the other side."""
         out = one.copy()
         for t in range(MOST_PARTITIONINGS if len(sample) else 0):
             part, n = np.unique(whole.parts(sample, t), return_counts=True)
-            np.maximum.at(out[t], part >> 16, np.ceil(n * (rows / len(sample)) / most).astype(int))
+            n = n * (rows / len(sample))
+            np.maximum.at(out[t], part >> 16, np.where(n > whole_up_to, np.ceil(n / most), 1).astype(int))
         return out
 
     q, i, _ = k_nearest(query_sample, landmark_sample, np.arange(len(landmark_sample)), k, radius)
-    near = NEAR
+    cuts_of_row = [(whole.parts(landmark_sample, t)[:, None] >> np.array([8, 0]) & 255 > 0).sum(1) for t in range(4)]
+    near = NEAR * float(np.mean(NEAR_CUT ** np.concatenate(cuts_of_row))) if len(landmark_sample) else NEAR
     if len(q) >= NEAR_PAIRS:
         near = float(np.mean([np.mean(whole.parts(query_sample, t)[q] == whole.parts(landmark_sample, t)[i]) for t in range(4)]))
-    n = partitionings_for(near)
-    return Forest(centre, rotations[:n], cut[:n], cut_again[:n], local, blocks(landmark_sample, landmarks, 2 * BLOCK_ROWS)[:n], blocks(query_sample, queries, 4 * BLOCK_ROWS)[:n])
+    n = max(LEAST_PARTITIONINGS, partitionings_for(near))
+    landmark_blocks, query_blocks = blocks(landmark_sample, landmarks, 2 * BLOCK_ROWS, LANDMARKS_MOST * BLOCK_ROWS), blocks(query_sample, queries, 4 * BLOCK_ROWS, QUERIES_MOST * BLOCK_ROWS)
+    return Forest(centre, rotations[:n], cut[:n], cut_again[:n], local[:n], landmark_blocks[:n], query_blocks[:n])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -122,16 +135,30 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DIM)
 
 
-def _binary(v: np.ndarray) -> pa.Array:
-    v = np.ascontiguousarray(v)
-    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(np.arange(0, (len(v) + 1) * DIM, DIM, dtype=np.int32)), pa.py_buffer(v)])
+_CHUNK = "part bigint, landmark boolean, size int, data binary"
+_ROW_BYTES = 8 + 4 + DIM
+
 
+def _packed(owner: np.ndarray, row_no: np.ndarray, v: np.ndarray) -> bytes:
+    """Compressed rows: all owners, all row numbers, all vectors."""
+    return pa.compress(owner.astype("<i8").tobytes() + row_no.astype("<i4").tobytes() + np.ascontiguousarray(v).tobytes(), codec="zstd", asbytes=True)
 
-_ROW = "part bigint, owner bigint, row_no int, landmark boolean, vec binary"
+
+def _unpacked(t: pa.Table, landmark: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, row_no, vectors) of the chunks of one side."""
+    size, at = t.column("size").to_numpy(), np.flatnonzero(t.column("landmark").to_numpy() == landmark)
+    ends = np.concatenate([[0], np.cumsum(size[at])])
+    owner, row_no, v = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int32), np.empty((ends[-1], DIM), np.uint8)
+    data = t.column("data")
+    for i, s, e in zip(at.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+        n, raw = e - s, pa.decompress(data[i].as_buffer(), decompressed_size=(e - s) * _ROW_BYTES, codec="zstd")
+        owner[s:e], row_no[s:e] = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i4", n, 8 * n)
+        v[s:e] = np.frombuffer(raw, np.uint8, DIM * n, 12 * n).reshape(n, DIM)
+    return owner, row_no, v
 
 
 def _spread(forest: Forest, landmark: bool, owner: np.ndarray, row_no: np.ndarray, v: np.ndarray):
-    """One batch a partitioning: every vector in its partition.
+    """One batch of chunks a partitioning: every vector in its partition.
 
     Of a partition still too large after its cuts, as one of a crowd of near-equal vectors is, the landmarks
     of a block meet every block of queries, and the other way round, so nothing is lost.
@@ -146,14 +173,29 @@ def _spread(forest: Forest, landmark: bool, owner: np.ndarray, row_no: np.ndarra
         here = (mix % mine[t, part >> 16].astype(np.uint64)).astype(np.int64)[at]
         lb, qb = (here, there) if landmark else (there, here)
         key = (((t << 24) | part[at]) << 32) | (lb << 16) | qb
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner[at]), pa.array(row_no[at].astype(np.int32)), pa.array(np.full(len(at), landmark)), _binary(v[at])], ["part", "owner", "row_no", "landmark", "vec"])
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], at[by]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+        chunks = [_packed(owner[i], row_no[i], v[i]) for i in (at[s:e] for s, e in zip(cuts[:-1], cuts[1:]))]
+        yield pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]]), pa.array(np.full(len(chunks), landmark)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(chunks, pa.binary())], ["part", "landmark", "size", "data"])
+
+
+def _joined(batches):
+    """Tables of CHUNK_ROWS rows or more, the last one of what is left."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _spread_landmarks(forest: Forest, k: int):
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _joined(batches):
             ids, v = b.column("id").to_numpy(), _vectors(b.column("vec"))
             # of equal vectors only the k smallest ids can be among the k nearest of anything
             _, same = np.unique(v.view(f"V{DIM}").ravel(), return_inverse=True)
@@ -170,16 +212,15 @@ def _spread_landmarks(forest: Forest, k: int):
 
 def _explode_queries(forest: Forest):
     def run(batches):
+        held, rows = [], 0
         for b in batches:
-            owner, data = b.column("owner").to_pylist(), b.column("vec").to_pylist()
-            held, rows = [], 0
-            for o, d in zip(owner, data):
+            for o, d in zip(b.column("owner").to_pylist(), b.column("vec").to_pylist()):
                 held.append((o, np.frombuffer(d, np.uint8).reshape(-1, DIM)))
                 rows += len(held[-1][1])
-                if rows >= 8192:
+                if rows >= CHUNK_ROWS:
                     yield from _emit(forest, held)
                     held, rows = [], 0
-            yield from _emit(forest, held)
+        yield from _emit(forest, held)
 
     return run
 
@@ -233,36 +274,48 @@ def k_nearest(q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, rad
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def forest_nearest(forest: Forest, q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, squared distance) of the up to k nearest candidates within `radius`: the landmarks below the nodes where each query stops in every tree, or all where it stops at the root."""
+def forest_nearest(forest: Forest, q: np.ndarray, landmarks: np.ndarray, ids: np.ndarray, k: int, radius: float, least: int, t: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, squared distance) of the up to k nearest candidates within `radius`: the landmarks below the nodes where each query stops in every tree of partitioning `t`, or all where it stops at the root."""
     if not len(q) or not len(landmarks):
         return (np.zeros(0, np.int64),) * 3
-    ls, qs = forest.strings(landmarks), forest.strings(q)
-    order = np.argsort(ls, axis=1, kind="stable")
+    ls = forest.strings(landmarks, t)
+    order = np.argsort(ls, axis=1, kind="stable").astype(np.int32)
     ls = np.take_along_axis(ls, order, axis=1)
+    ln = np.concatenate([np.square(landmarks[s : s + 8192], dtype=np.float32).sum(1) for s in range(0, len(landmarks), 8192)])
+    out = []
+    for s in range(0, len(q), BLOCK_ROWS):
+        a, i, d = _block_nearest(q[s : s + BLOCK_ROWS], forest.strings(q[s : s + BLOCK_ROWS], t), landmarks, ln, ls, order, ids, k, radius, least)
+        out.append((a + s, i, d))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _block_nearest(q, qs, landmarks, ln, ls, order, ids, k, radius, least):
+    """forest_nearest for a block of queries and their strings; vectors are made floats a node at a time."""
     depth = ascend(ls, qs, least)
-    top = np.flatnonzero(depth == 0)
-    a, b, d = k_nearest(q[top], landmarks, np.arange(len(landmarks)), len(landmarks), radius)
-    found = [(top[a], b, d)]
-    l32, q32 = landmarks.astype(np.float32), q.astype(np.float32)
-    ln, qn, most = (l32 * l32).sum(1), (q32 * q32).sum(1), np.float32(math.floor(radius * radius))
-    for t in range(LOCAL_TREES):
-        lt, ln_t = l32[order[t]], ln[order[t]]
+    top, found = np.flatnonzero(depth == 0), []
+    for s in range(0, len(landmarks) if len(top) else 0, BLOCK_ROWS):
+        part = landmarks[s : s + BLOCK_ROWS]
+        a, b, d = k_nearest(q[top], part, np.arange(len(part)), len(part), radius)
+        found.append((top[a], b + s, d))
+    qn, most = np.square(q, dtype=np.float32).sum(1), np.float32(math.floor(radius * radius))
+    for tree in range(LOCAL_TREES):
         for at_depth in np.unique(depth[depth > 0]):
             mine = np.flatnonzero(depth == at_depth)
-            lo, hi = ranges(ls[t], qs[t, mine], at_depth)
+            lo, hi = ranges(ls[tree], qs[tree, mine], at_depth)
             by = np.argsort(lo, kind="stable")
             mine, lo, hi = mine[by], lo[by], hi[by]
             cuts = np.flatnonzero(np.concatenate([[True], lo[1:] != lo[:-1], [True]]))
             for s, e in zip(cuts[:-1], cuts[1:]):
-                x, y = lo[s], hi[s]
-                if x == y:
+                if lo[s] == hi[s]:
                     continue
-                g = q32[mine[s:e]] @ lt[x:y].T
+                below = order[tree, lo[s] : hi[s]]
+                g = q[mine[s:e]].astype(np.float32) @ landmarks[below].astype(np.float32).T
                 g *= -2
-                g += ln_t[x:y]
+                g += ln[below]
                 a, b = np.nonzero(g <= (most - qn[mine[s:e]])[:, None])
-                found.append((mine[s:e][a], order[t, x:y][b], (g[a, b] + qn[mine[s:e][a]]).astype(np.int64)))
+                found.append((mine[s:e][a], below[b].astype(np.int64), (g[a, b] + qn[mine[s:e][a]]).astype(np.int64)))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
     a, b, d = (np.concatenate(x) for x in zip(*found))
     _, one = np.unique(a * len(landmarks) + b, return_index=True)  # a candidate of several trees counts once
     a, b, d = a[one], b[one], d[one]
@@ -287,13 +340,12 @@ def _once(at: np.ndarray, owner: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _match(forest: Forest, k: int, radius: float, least: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        of_landmark = t.column("landmark").to_numpy()
-        owner, row_no = (t.column(c).to_numpy() for c in ("owner", "row_no"))
-        v = _vectors(t.column("vec"))
-        l_at, q_at = _once(np.flatnonzero(of_landmark), owner, v), np.flatnonzero(~of_landmark)
-        q, i, d = forest_nearest(forest, v[q_at], v[l_at], owner[l_at], k, radius, least)
-        return pa.table({"owner": owner[q_at[q]], "row_no": row_no[q_at[q]].astype(np.int64), "id": i, "d2": d})
+        ids, _, lv = _unpacked(t, True)
+        owner, row_no, v = _unpacked(t, False)
+        at = _once(np.arange(len(ids)), ids, lv)
+        # paths are longer in a large partition, so more neighbours leave them
+        q, i, d = forest_nearest(forest, v, lv[at], ids[at], k, radius, least * (2 if len(at) > BLOCK_ROWS else 1), key[0].as_py() >> 56)
+        return pa.table({"owner": owner[q], "row_no": row_no[q].astype(np.int64), "id": i, "d2": d})
 
     return run
 
@@ -316,7 +368,7 @@ def similar_vectors(queries: DataFrame, landmarks: DataFrame, k: int = 8, radius
     ls = sample(lm, n_l, SAMPLE_ROWS)
     one = q.select(F.expr(f"substring(vec, 1 + {DIM} * (abs(hash(owner)) % (length(vec) div {DIM})), {DIM})").alias("vec"))  # one vector of each, so that whole blobs stay where they are
     forest = fit_forest(ls, sample(one, n_q, SAMPLE_QUERIES), n_l, int(q_rows), k, radius)
-    spread = lm.mapInArrow(_spread_landmarks(forest, k), _ROW).unionAll(q.mapInArrow(_explode_queries(forest), _ROW))
+    spread = lm.mapInArrow(_spread_landmarks(forest, k), _CHUNK).unionAll(q.mapInArrow(_explode_queries(forest), _CHUNK))
     parts = max(1, math.ceil(forest.partitionings * (n_l + q_rows) / GROUP_ROWS))
     spread = spread.repartition(max(parts, int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
     found = spread.groupBy("part").applyInArrow(_match(forest, k, radius, min_candidates), "owner bigint, row_no bigint, id bigint, d2 bigint")

@@ -123,3 +123,30 @@ def test_a_crowd_of_equal_queries_and_landmarks_is_split(spark, data):
     finally:
         sv.BLOCK_ROWS = old
     assert sorted(got) == [(i, 0, j) for i in range(60) for j in range(8)]
+
+
+def test_a_branch_is_cut_only_where_one_task_cannot_hold_it(data):
+    import terrakite.llm.similar_vectors as sv
+
+    lm, q = data
+    crowd = np.tile(lm, (4, 1))
+    rows = 128 * 3 * sv.BLOCK_ROWS  # three blocks a branch: one task holds them
+    large = fit_forest(crowd, q, rows, rows)
+    assert not large.cut.any() and large.landmark_blocks.max() == large.query_blocks.max() == 1
+    # where branches are cut, neighbours part more often, though a sample of few neighbours does not show it
+    huge = fit_forest(crowd[:900], q[:1], 20 * rows, 20 * rows)
+    assert huge.cut.any() and huge.partitionings > large.partitionings >= sv.LEAST_PARTITIONINGS
+
+
+def test_recall_does_not_fall_with_the_rows_a_task_holds(spark, data):
+    import terrakite.llm.similar_vectors as sv
+
+    lm, q = data
+    old, sv.BLOCK_ROWS = sv.BLOCK_ROWS, 10  # as for tables of thousands of times their rows
+    try:
+        ldf = spark.createDataFrame([(int(i), bytes(v)) for i, v in enumerate(lm)], "id bigint, vec binary")
+        found = {(r.row_no, r.id) for r in sv.similar_vectors(spark.createDataFrame([(1, q.tobytes())], "owner bigint, vec binary"), ldf).collect()}
+    finally:
+        sv.BLOCK_ROWS = old
+    want = brute(q, lm, np.arange(len(lm)), 8, 150.0)
+    assert found <= want and len(found) >= 0.97 * len(want)
