@@ -1,4 +1,5 @@
 import base64
+import gzip
 import json
 import sqlite3
 import struct
@@ -40,6 +41,44 @@ def test_session_round_trips(spark, folder, tmp_path):
     assert s.frames.select(session.file_prefix(F.col("id"))).first()[0] == "00000000_"
 
 
+def document(folder):
+    """The parts of a written document put together."""
+    return json.loads(b"".join(gzip.decompress(p.read_bytes()) for p in sorted(folder.glob("part-*"))))
+
+
+def many(spark, n):
+    """A session of `n` rows a table in 6 partitions, a third of the fixes equal, some values missing."""
+    eye = F.array(*[F.lit(v) for v in EYE])
+    rows = spark.range(0, n, 1, 6)
+    frames = rows.select("id", (F.col("id") * 10).alias("timestamp"), F.when(F.col("id") % 5 > 0, eye).alias("intrinsics"), eye.alias("extrinsics"))
+    gps = rows.select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(-9).alias("timestamp"), *[F.array(F.lit(1.5), F.lit(-0.25), F.lit(3.0)).alias(c) for c in ("relative", "global", "accuracy")])
+    corner = [F.col("id").cast("double").alias(c) for c in ("lx", "lz", "ux", "uz")]
+    lm = rows.select("id", *[F.col("id").cast("double").alias(c) for c in "xyz"], F.array(F.lit(0.5).cast("float")).alias("orientation"), F.when(F.col("id") % 7 > 0, F.lit(bytes(range(128)))).alias("desc"), F.lit(3).alias("sightings"), *corner, F.lit(-1).cast("long").alias("last_seen"))
+    anchors = rows.select("id", F.when(F.col("id") % 2 > 0, F.col("id")).alias("frame_id"), eye.alias("transform"), F.when(F.col("id") % 2 > 0, eye).alias("relative_transform"))
+    edges = rows.select((F.col("id") % 40).alias("src"), "id").withColumnRenamed("id", "dst")
+    return session.Session(frames, gps, lm, anchors, edges, spark.range(1).select(F.lit(True).alias("origin_ready"), eye.alias("origin")))
+
+
+@pytest.mark.parametrize("table", ["frames", "gps", "landmarks", "anchors", "edges"])
+def test_a_table_of_a_session_is_written_and_read_by_many_tasks(spark, tmp_path, table):
+    s = many(spark, 600)
+    session.write_session(s, str(tmp_path / "out"))
+    name = table if table in ("frames", "gps") else "map"
+    doc = document(tmp_path / "out" / f"{name}.json")
+    assert len(doc if name != "map" else doc[table]) == (40 if table == "edges" else 600)
+    back = session.read_session(spark, str(tmp_path / "out"))
+    assert tables(back)[table] == tables(s)[table]
+    assert getattr(back, table).rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_a_session_of_no_or_one_row(spark, tmp_path, n):
+    s = many(spark, n)
+    session.write_session(s, str(tmp_path / "out"))
+    assert len(document(tmp_path / "out" / "frames.json")) == len(document(tmp_path / "out" / "map.json")["edges"]) == n
+    assert tables(session.read_session(spark, str(tmp_path / "out"))) == tables(s)
+
+
 def test_short_descriptors(spark, folder):
     m = json.loads((folder / "map.json").read_text())
     m["landmarks"][0]["desc"] = base64.b64encode(bytes(61)).decode()
