@@ -40,6 +40,17 @@ def test_range_join_finds_each_pair_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_range_join_tries_equal_rectangles_once(spark):
+    """A crowd of equal rectangles in one cell that touch nothing: pairing them one by one takes 10**10 comparisons."""
+    l = spark.range(100_000).select(F.col("id").alias("a"), *[F.lit(v).alias(c) for c, v in zip(("lx", "lz", "ux", "uz"), (0.0, 0.0, 1.0, 1.0))])  # noqa: E741
+    far = F.col("id") > 2
+    r = spark.range(100_000).select(F.col("id").alias("b"), *[F.when(far, v).otherwise(w).alias(c) for c, v, w in (("bx", 5.0, 1.0), ("bz", 5.0, -0.0), ("cx", 6.0, 1.0), ("cz", 6.0, 0.0))])
+    join = spatial.range_join(l, r, Rect.named(), Rect(F.col("bx"), F.col("bz"), F.col("cx"), F.col("cz")), 7.0)
+    assert tuple(join.agg(F.count("*"), F.countDistinct("a"), F.countDistinct("b")).first()) == (300_000, 100_000, 3)
+    spatial_rows = join.where("a = 5").orderBy("b")
+    assert [x.b for x in spatial_rows.collect()] == [0, 1, 2]
+
+
 def test_edits_of_rows(regions, spark):
     new = spark.createDataFrame([(0, 1.0), (50, 2.0), (None, 3.0)], "id bigint, lx double")
     assert ids(spatial.insert(regions.select("id", "lx"), new, order="lx")) == [1, 2, 3, 4, 5, 6, 7, 8, 50, 51, 52]
