@@ -3,15 +3,15 @@
     spark.dataSource.register(SfmDatabase)
     spark.read.format("sfm_database").option("table", "keypoints").load(path)
 
-Every image is one row range of the partition plan, so large databases are read in parallel.
+Every partition is a range of image ids with as many images as the others, so large databases are read in parallel.
 """
 
 from __future__ import annotations
 
 import sqlite3
-import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,6 +25,8 @@ _SCHEMAS = {
     "descriptors": "image_id int, idx int, desc binary",
 }
 PINHOLE, WIDTH, HEIGHT = 1, 1920, 1440
+PRIOR_VARIANCE = 10.0
+_BATCH_ROWS = 20_000
 
 
 class _Range(InputPartition):
@@ -46,23 +48,32 @@ class SfmDatabase(DataSource):
 
 class SfmReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.table, self.step = options["path"].removeprefix("file:"), options.get("table", "images"), int(options.get("imagesPerPartition", "64"))
+        self.path, self.table = options["path"].removeprefix("file:"), options.get("table", "images")
+        # of the images themselves a partition holds many; of keypoints and descriptors an image has thousands
+        self.images = int(options.get("imagesPerPartition", "250000" if self.table == "images" else "64"))
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self):
         with self._open() as db:
-            lo, hi = db.execute("SELECT min(image_id), max(image_id) FROM images").fetchone()
-        return [_Range(a, min(a + self.step - 1, hi)) for a in range(lo, hi + 1, self.step)] if lo is not None else [_Range(0, -1)]
+            key = db.execute(f"SELECT min(image_id) FROM {self.table}").fetchone()
+            starts = []
+            while key and key[0] is not None:
+                starts.append(key[0])
+                key = db.execute(f"SELECT image_id FROM {self.table} WHERE image_id > ? ORDER BY image_id LIMIT 1 OFFSET ?", (key[0], self.images - 1)).fetchone()
+            hi = db.execute(f"SELECT max(image_id) FROM {self.table}").fetchone()[0]
+        return [_Range(x, y - 1) for x, y in zip(starts, [*starts[1:], hi + 1])] if starts else [_Range(0, -1)]
 
     def read(self, part: _Range):
         with self._open() as db:
             yield from getattr(self, f"_{self.table}")(db, part.lo, part.hi)
 
     def _images(self, db, lo, hi):
-        for i, name in db.execute("SELECT image_id, name FROM images WHERE image_id BETWEEN ? AND ? ORDER BY image_id", (lo, hi)):
-            yield i, name, False
+        found = db.execute("SELECT image_id, name FROM images WHERE image_id BETWEEN ? AND ? ORDER BY image_id", (lo, hi))
+        while rows := found.fetchmany(_BATCH_ROWS):
+            ids, names = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(names, pa.string()), pa.array([False] * len(ids))], ["image_id", "name", "positioned"])
 
     def _blobs(self, db, lo, hi):
         cols_there = any(c[1] == "cols" for c in db.execute("PRAGMA table_info(keypoints)"))
@@ -101,25 +112,68 @@ def database_rows(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = F.col("id") + 1
     cameras = frames.select(key.alias("camera_id"), F.lit(PINHOLE).alias("model"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), i(0).alias("fx"), i(4).alias("fy"), i(6).alias("cx"), i(7).alias("cy"))
     images = frames.select(key.alias("image_id"), F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("_image.jpeg")).alias("name"), key.alias("camera_id"))
-    priors = frames.select(key.alias("image_id"), e(12).alias("x"), e(13).alias("y"), e(14).alias("z"), F.array(*[F.lit(10.0 if a == b else 0.0) for a in range(3) for b in range(3)]).alias("covariance"))
+    priors = frames.select(key.alias("image_id"), e(12).alias("x"), e(13).alias("y"), e(14).alias("z"), F.array(*[F.lit(PRIOR_VARIANCE if a == b else 0.0) for a in range(3) for b in range(3)]).alias("covariance"))
     return cameras, images, priors
 
 
+def _packed(batches):
+    """Arrow batches as one binary value each, so that the driver takes columns and not rows."""
+    for b in batches:
+        for s in range(0, b.num_rows, _BATCH_ROWS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b.slice(s, _BATCH_ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+
+def _columns(df: DataFrame):
+    """Lists of the columns of `df`, a batch at a time: one partition is on the driver while the next is made."""
+    for r in df.mapInArrow(_packed, "rows binary").toLocalIterator(prefetchPartitions=True):
+        with pa.ipc.open_stream(r["rows"]) as t:
+            for b in t:
+                yield [c.to_pylist() for c in b.columns]
+
+
+def _doubles(columns: list[str]):
+    """A function for mapInArrow: the first column and the bytes of the other ones, little-endian doubles."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows and any(b.column(c).null_count for c in columns):
+                raise ValueError(f"a frame lacks one of {columns}")
+            raw = np.stack([b.column(c).to_numpy() for c in columns], axis=1).astype("<f8") if b.num_rows else np.zeros((0, len(columns)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c not in columns), pa.array([x.tobytes() for x in raw], pa.binary())], [*(c for c in b.schema.names if c not in columns), "blob"])
+
+    return run
+
+
 def create_database(frames: DataFrame, path: str) -> None:
-    """A database file with the rows of database_rows.  SQLite has one writer, so the rows stream through the driver a partition at a time."""
+    """A database file with the rows of database_rows.  SQLite has one writer, so the rows go through the driver; executors pack them, and a partition or two are on the driver at once."""
     cameras, images, priors = database_rows(frames)
-    with sqlite3.connect(path) as db:
+    params, place = ["fx", "fy", "cx", "cy"], ["x", "y", "z"]
+    cameras = cameras.select(*[c for c in cameras.columns if c not in params], *[F.col(c).cast("double").alias(c) for c in params])
+    priors = priors.select("image_id", *[F.col(c).cast("double").alias(c) for c in place])
+    covariance = np.diag([PRIOR_VARIANCE] * 3).astype("<f8").tobytes()
+    # after a failure the file has to be made anew, so no journal is written
+    with sqlite3.connect(path, isolation_level=None) as db:
         db.executescript(
-            """CREATE TABLE cameras (camera_id INTEGER PRIMARY KEY, model INTEGER, width INTEGER, height INTEGER, params BLOB, prior_focal_length INTEGER);
+            """PRAGMA journal_mode = OFF; PRAGMA synchronous = OFF; PRAGMA cache_size = -20000;
+            CREATE TABLE cameras (camera_id INTEGER PRIMARY KEY, model INTEGER, width INTEGER, height INTEGER, params BLOB, prior_focal_length INTEGER);
             CREATE TABLE images (image_id INTEGER PRIMARY KEY, name TEXT UNIQUE, camera_id INTEGER);
             CREATE TABLE pose_priors (image_id INTEGER PRIMARY KEY, position BLOB, coordinate_system INTEGER, position_covariance BLOB);
             CREATE TABLE keypoints (image_id INTEGER PRIMARY KEY, rows INTEGER, cols INTEGER, data BLOB);
             CREATE TABLE descriptors (image_id INTEGER PRIMARY KEY, rows INTEGER, cols INTEGER, data BLOB);
-            CREATE TABLE two_view_geometries (pair_id INTEGER PRIMARY KEY, rows INTEGER, cols INTEGER, data BLOB, config INTEGER, qvec BLOB, tvec BLOB);"""
+            CREATE TABLE two_view_geometries (pair_id INTEGER PRIMARY KEY, rows INTEGER, cols INTEGER, data BLOB, config INTEGER, qvec BLOB, tvec BLOB);
+            BEGIN;"""
         )
-        db.executemany("INSERT INTO cameras VALUES (?, ?, ?, ?, ?, 1)", ((r.camera_id, r.model, r.width, r.height, struct.pack("<4d", r.fx, r.fy, r.cx, r.cy)) for r in cameras.toLocalIterator()))
-        db.executemany("INSERT INTO images VALUES (?, ?, ?)", (tuple(r) for r in images.toLocalIterator()))
-        db.executemany("INSERT INTO pose_priors VALUES (?, ?, 1, ?)", ((r.image_id, struct.pack("<3d", r.x, r.y, r.z), struct.pack("<9d", *r.covariance)) for r in priors.toLocalIterator()))
+        kinds = lambda df, gone: ", ".join([*(f"{n} {k}" for n, k in df.dtypes if n not in gone), "blob binary"])
+        for c in _columns(cameras.mapInArrow(_doubles(params), kinds(cameras, params))):
+            db.executemany("INSERT INTO cameras VALUES (?, ?, ?, ?, ?, 1)", zip(*c))
+        for c in _columns(images):
+            db.executemany("INSERT INTO images VALUES (?, ?, ?)", zip(*c))
+        for c in _columns(priors.mapInArrow(_doubles(place), kinds(priors, place))):
+            db.executemany("INSERT INTO pose_priors VALUES (?, ?, 1, ?)", ((i, p, covariance) for i, p in zip(*c)))
+        db.execute("COMMIT")
 
 
 def missing_pairs(frames: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:

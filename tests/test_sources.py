@@ -126,6 +126,19 @@ def test_database(spark, tmp_path):
     assert [(r.first, r.second) for r in pairs] == [(2, 3)] and np.array(pairs[0].relative_pose) == pytest.approx(EYE)
 
 
+def test_a_database_of_sparse_ids_is_read_in_few_partitions(spark, tmp_path):
+    path = str(tmp_path / "sparse.db")
+    frames = spark.range(0, 3000, 1, 3).select((F.col("id") * 1000).alias("id"), F.array(*[(F.col("id") + i).cast("double") for i in range(9)]).alias("intrinsics"), F.array(*[F.lit(v) for v in EYE[:12]], *[F.col("id") + 0.5] * 3, F.lit(1.0)).alias("extrinsics"))
+    sfm_sqlite.create_database(frames, path)
+    images, kp, desc = sfm_sqlite.read_database(spark, path)
+    assert images.rdd.getNumPartitions() == kp.rdd.getNumPartitions() == 1  # 46,860 with one for every 64 ids
+    assert sorted(r.image_id for r in images.collect()) == [1000 * i + 1 for i in range(3000)] and kp.count() == desc.count() == 0
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT count(*), count(DISTINCT name) FROM images").fetchone() == (3000, 3000)
+        assert db.execute("SELECT params FROM cameras WHERE camera_id = 7001").fetchone() == (struct.pack("<4d", 7, 11, 13, 14),)
+        assert db.execute("SELECT position, position_covariance FROM pose_priors WHERE image_id = 7001").fetchone() == (struct.pack("<3d", 7.5, 7.5, 7.5), struct.pack("<9d", 10, 0, 0, 0, 10, 0, 0, 0, 10))
+
+
 def test_text_lines(spark):
     f = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0, 4.0, bytes(range(128))), (1, 1, 1.5, 2.0, 3.0, 4.0, b"short")], "image_id int, idx int, x double, y double, scale double, orientation double, desc binary")
     lines = sfm_text.feature_lines(f).first().lines
