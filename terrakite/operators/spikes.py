@@ -1,11 +1,12 @@
 """Implausible readings in per-source series: spikes against what is usual, stuck runs and bounds.
 
-Every source is cut into chunks with borders (chunks.py).  In a chunk the readings become residuals
-against the local median of what the source's own movement leaves unexplained, accuracies against
-what is usual.  The ellipsoids of phase space, over a residual and its first and second differences, have
-the robust scales of the whole source, medians over all of its rows from a mergeable quantile sketch, so what a
-chunk's own level is decides nothing.  Readings outside, taken out round by round, are candidates;
-of these a run of up to three that are ten times the usual size is a spike.
+Every source is cut into chunks with borders (chunks.py).  In a chunk positions and altitudes become residuals
+against the local median of what the source's own movement leaves unexplained.  The ellipsoids of phase
+space, over a residual and its first and second differences, have the robust scales of the whole source, medians
+over all of its rows from a mergeable quantile sketch, so what a chunk's own level is decides nothing.
+Readings outside are taken out round by round and the local median is taken again over those that stay, so that
+readings that are off do not say where the others should be.  A run of up to three whose residual is then ten times the
+usual size is a spike, and so is one of accuracies that are ten times the usual one, whatever is beside them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ STUCK_MOVED_M = 2.0
 HEADING_LAG = 10
 #: sqrt(2 ln n) for the ellipsoid, but no more than this: then whatever is TIMES_USUAL times the usual size lies outside.
 WIDEST = 6.0
+#: Residuals of no more than this come from the arithmetic, where the usual one is 0.
+ROUNDING_M = 1e-9
+#: More readings in a row than these that are outside are no burst of spikes but a level of their own.
+LONGEST_BURST = 64
 
 
 def rolling_median(v: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -52,11 +57,12 @@ def differences(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d1, np.gradient(d1)
 
 
-def phase_space_outliers(r: np.ndarray, rounds: int = 10, axes: tuple[float, float, float] | None = None) -> np.ndarray:
+def phase_space_outliers(r: np.ndarray, rounds: int = 10, axes: tuple[float, float, float] | None = None, again=None) -> np.ndarray:
     """Rows of the residual series `r`, real or complex, outside the ellipsoid over (r, dr, d2r).
 
     `axes` are its semi-axes; without them they are the universal threshold sqrt(2 ln n) times 1.4826 MAD
-    of each, taken again in every round.  Outliers are replaced by 0, the local median, until no new one is found.
+    of each, taken again in every round.  Outliers are replaced by 0, the local median, until no new one is found;
+    `again`, if given, tells the residuals without the outliers so far.
     """
     bad = np.zeros(len(r), bool)
     if len(r) < 5 and axes is None:
@@ -72,10 +78,70 @@ def phase_space_outliers(r: np.ndarray, rounds: int = 10, axes: tuple[float, flo
         if not new.any():
             break
         bad |= new
+        if again:
+            r = again(bad)
+            x = np.where(np.isfinite(r), r, 0.0)
         x = np.where(bad, 0.0, x)
     return bad
 
 
+def _on_line(at: np.ndarray, v: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Values at `to` of a line through `v` at `at`: the median of the slopes half of them apart, and the median of what is left."""
+    if np.iscomplexobj(v):
+        return _on_line(at, v.real, to) + 1j * _on_line(at, v.imag, to)
+    k = len(at) // 2
+    slope = np.median((v[k:] - v[: len(v) - k]) / (at[k:] - at[: len(at) - k]))
+    return np.median(v - slope * at) + slope * to
+
+
+def local_median(v: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Running median of a series, real or complex, of readings at the places `at`; at the ends, where it would lag behind slow changes, a line."""
+    if np.iscomplexobj(v):
+        return local_median(v.real, at) + 1j * local_median(v.imag, at)
+    m, half = rolling_median(v), WINDOW // 2
+    if len(v) >= WINDOW:
+        at = np.arange(len(v)) if at is None else at
+        m[:half] = _on_line(at[:WINDOW], v[:WINDOW], at[:half])
+        m[-half:] = _on_line(at[-WINDOW:], v[-WINDOW:], at[-half:])
+    return m
+
+
+def residuals_without(v: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Residuals of the series `v`, real or complex, against the running median over the readings that are not `out`.
+
+    A reading that is out is measured against the medians on its two sides and the line between them, at the ends a line
+    through those that stay, and fits if it fits one: the edge of a step is none's spike.  More than LONGEST_BURST in a row,
+    at an end more than WINDOW, stay too, as do the ends and then all where few would.
+    """
+    stay, n = ~out, len(v)
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8))).reshape(-1, 2)
+    for a, b in ends:
+        stay[a:b] = b - a > (WINDOW if a == 0 or b == n else LONGEST_BURST)
+    if stay.sum() < 3 * WINDOW:
+        for a, b in ends:
+            stay[a:b] |= a == 0 or b == n
+    if stay.sum() < 3:
+        stay[:] = True
+    i, j = np.flatnonzero(stay), np.flatnonzero(~stay)
+    m, r = local_median(v[i], i), np.empty_like(v)
+    r[i] = v[i] - m
+    after = np.searchsorted(i, j)
+    lo, hi = m[np.maximum(after - 1, 0)], m[np.minimum(after, len(i) - 1)]
+    line = np.interp(j, i, m.real) + 1j * np.interp(j, i, m.imag) if np.iscomplexobj(v) else np.interp(j, i, m)
+    for near, beyond in ((i[:WINDOW], j < i[0]), (i[-WINDOW:], j > i[-1])):
+        line[beyond] = _on_line(near, v[near], j[beyond])
+    d = v[j] - np.stack([line, lo, hi])
+    r[j] = np.take_along_axis(d, np.abs(d).argmin(0)[None], 0)[0]
+    return r
+
+
+def settled_residuals(v: np.ndarray, axes: tuple[float, float, float]) -> np.ndarray:
+    """Residuals of the series `v`, real or complex, against the running median over what is inside the ellipsoid with `axes`."""
+    r = v - local_median(v)
+    bad = phase_space_outliers(r, len(v), axes, lambda out: residuals_without(v, out))
+    return residuals_without(v, bad) if bad.any() else r
+
+
 def heading(z: np.ndarray, w: np.ndarray) -> complex:
     """The rotation (unit complex) that turns movement w into change of position z, robust to outliers.
 
@@ -127,7 +193,7 @@ def end_runs(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 
 _COLUMNS = ["lat", "lon", "alt", "rx", "ry", "rz", "ax", "ay"]
-_OUT = "gps_id bigint, source bigint, pos double, re float, im float, alt double, ax double, ay double, steps array<float>, impossible boolean, stuck boolean, own boolean, chunk bigint, end int, lat double, lon double, rx double, ry double, rz double"
+_OUT = "gps_id bigint, source bigint, pos double, east double, north double, alt double, high double, ax double, ay double, steps array<float>, impossible boolean, stuck boolean, own boolean, chunk bigint, end int, lat double, lon double, rx double, ry double, rz double"
 
 
 def _first_in_batch(batches):
@@ -138,7 +204,8 @@ def _first_in_batch(batches):
         yield from t.take(pa.array(np.sort(at))).to_batches()
 
 
-_KINDS = ("pos", "alt", "ax", "ay")
+_LOCAL, _SESSION_WIDE = ("pos", "alt"), ("ax", "ay")
+_KINDS = _LOCAL + _SESSION_WIDE
 
 
 def short_runs(has: np.ndarray, over: np.ndarray) -> np.ndarray:
@@ -154,66 +221,56 @@ def short_runs(has: np.ndarray, over: np.ndarray) -> np.ndarray:
 def _chunk_spikes(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     df = df.sort_values("gps_id", kind="stable")
     levels, hit = df["levels"].to_numpy(), np.zeros(len(df), bool)
-    ratios = df["ratios"].iloc[0]
-    series = [df["re"].to_numpy(np.float64) + 1j * df["im"].to_numpy(np.float64), *(df[c].to_numpy(np.float64) for c in ("alt", "ax", "ay"))]
-    for i, r in enumerate(series):
+    for i in range(len(_SESSION_WIDE)):
         level = levels // 3**i % 3
-        has = np.flatnonzero(level > 0)
-        over = np.zeros(len(df), bool)
-        over[has] = phase_space_outliers(r[has], axes=(1.0, ratios[2 * i], ratios[2 * i + 1])) & (level[has] == 2)
-        hit |= short_runs(level > 0, over)
+        hit |= short_runs(level > 0, level == 2)
+    scales = np.asarray(df["scales"].iloc[0], np.float64).reshape(len(_LOCAL), 4)
+    for v, (limit, *axes) in zip((df["east"].to_numpy(np.float64) + 1j * df["north"].to_numpy(np.float64), df["high"].to_numpy(np.float64)), scales):
+        has, over = np.isfinite(v), np.zeros(len(df), bool)
+        if limit < np.inf:
+            size = np.abs(settled_residuals(v[has], axes))
+            over[has] = (size > ROUNDING_M) & (size >= limit)
+            hit |= short_runs(has, over)
     return pd.DataFrame({"gps_id": df["gps_id"].to_numpy()[hit & df["own"].to_numpy(bool)]})
 
 
-def _beside(own: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Rows that are not own, but one of the LONGEST_SPIKE readings of a kind before or after the own ones."""
-    out, mine = np.zeros(len(own), bool), np.flatnonzero(own)
-    for v in values if len(mine) else ():
-        has = np.flatnonzero(np.isfinite(v))
-        lo, hi = np.searchsorted(has, mine[0]), np.searchsorted(has, mine[-1], "right")
-        out[has[max(lo - LONGEST_SPIKE, 0) : lo]] = out[has[hi : hi + LONGEST_SPIKE]] = True
-    return out & ~own
-
-
 def _chunk_residuals(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     df = df.sort_values(["gps_id", *_COLUMNS], kind="stable").drop_duplicates("gps_id")
     n = len(df)
     lat, lon, alt, rx, ry, rz, ax, ay = (df[c].to_numpy(np.float64, na_value=np.nan) for c in _COLUMNS)
     there = df["here"].to_numpy(bool)
     no_pos = df["bad_pos"].to_numpy(bool) | ~np.isfinite(lat) | ~np.isfinite(lon)
-    pos, z_r, alt_r, stuck = np.full(n, np.nan), np.full(n, np.nan + 0j), np.full(n, np.nan), np.zeros(n, bool)
+    (east, north, pos, high, alt_r), z_r, stuck = np.full((5, n), np.nan), np.full(n, np.nan + 0j), np.zeros(n, bool)
 
     ok = np.flatnonzero(~no_pos & np.isfinite(rx) & np.isfinite(rz))
     if len(ok) >= 3:
         lat0, lon0 = np.median(lat[ok]), np.median(lon[ok])
-        east = (np.mod(lon[ok] - lon0 + 180, 360) - 180) * 111_320.0 * np.cos(np.radians(lat0))
-        z, w = east + 1j * (lat[ok] - lat0) * 110_574.0, rx[ok] - 1j * rz[ok]
+        x = (np.mod(lon[ok] - lon0 + 180, 360) - 180) * 111_320.0 * np.cos(np.radians(lat0))
+        z, w = x + 1j * (lat[ok] - lat0) * 110_574.0, rx[ok] - 1j * rz[ok]
         left = z - heading(z, w) * w
-        re, im = left.real - rolling_median(left.real), left.imag - rolling_median(left.imag)
-        pos[ok], z_r[ok] = np.hypot(re, im), re + 1j * im
-    high = np.flatnonzero(np.isfinite(alt) & (np.abs(alt) <= 9000) & np.isfinite(ry))
-    if len(high) >= 3:
-        a = alt[high] - ry[high]
-        alt_r[high] = a - rolling_median(a)
+        east[ok], north[ok], z_r[ok] = left.real, left.imag, left - local_median(left)
+        pos[ok] = np.abs(z_r[ok])
+    ok = np.flatnonzero(np.isfinite(alt) & (np.abs(alt) <= 9000) & np.isfinite(ry))
+    if len(ok) >= 3:
+        high[ok] = alt[ok] - ry[ok]
+        alt_r[ok] = high[ok] - local_median(high[ok])
     own = df["_own"].to_numpy(bool)
     fixed, end = np.flatnonzero(there & own), np.zeros(n, int)
     end[fixed] = end_runs(lat[fixed], lon[fixed])
     stuck[fixed] = stuck_runs(lat[fixed], lon[fixed], np.stack([rx, ry, rz], 1)[fixed]) & (end[fixed] == 0)
     at_end = lambda v: np.where(end > 0, v, np.nan)
     good = lambda v: np.where((v > 0) & (v <= 1e6), v, np.nan)
-    ax, ay = good(ax), good(ay)
-    keep = own | _beside(own, np.stack([pos, alt_r, ax, ay]))
-    steps = np.full((n, 8), np.nan, np.float32)
-    for i, v in enumerate((z_r, alt_r, ax, ay)):
+    steps = np.full((n, 2 * len(_LOCAL)), np.nan, np.float32)
+    for i, v in enumerate((z_r, alt_r)):
         has = np.flatnonzero(np.isfinite(v))
         d1, d2 = differences(v[has])
         steps[has, 2 * i], steps[has, 2 * i + 1] = np.abs(d1), np.abs(d2)
     return pd.DataFrame(
         {
-            "gps_id": df["gps_id"].to_numpy(), "source": df["source"].to_numpy(), "pos": pos, "re": z_r.real.astype(np.float32), "im": z_r.imag.astype(np.float32), "alt": alt_r, "ax": ax, "ay": ay, "steps": list(steps), "impossible": df["impossible"].to_numpy(bool), "stuck": stuck, "own": own,
+            "gps_id": df["gps_id"].to_numpy(), "source": df["source"].to_numpy(), "pos": pos, "east": east, "north": north, "alt": alt_r, "high": high, "ax": good(ax), "ay": good(ay), "steps": list(steps), "impossible": df["impossible"].to_numpy(bool), "stuck": stuck, "own": own,
             "chunk": key[1], "end": end, "lat": at_end(lat), "lon": at_end(lon), "rx": at_end(rx), "ry": at_end(ry), "rz": at_end(rz),
         }
-    )[keep]
+    )
 
 
 def stuck_across(each: DataFrame) -> DataFrame:
@@ -240,8 +297,9 @@ def implausible_fixes(gps: DataFrame, chunk_rows: int = 8192, halo: int = 512) -
     """(gps_id, reason) of fixes that cannot be true readings of their session.
 
     `gps` needs gps_id, session_id, relative, global and accuracy; other columns are ignored.
-    `impossible`: a value that cannot be real.  `spike`: position, altitude or accuracy at least
-    TIMES_USUAL times the session's usual one, for at most LONGEST_SPIKE fixes in a row.  `stuck`: a
+    `impossible`: a value that cannot be real.  `spike`: position or altitude at least TIMES_USUAL times as far as
+    usual from where those in the ellipsoids put it, or accuracy at least TIMES_USUAL times the session's usual one, for
+    at most LONGEST_SPIKE fixes in a row.  `stuck`: a
     repeated position in a run of STUCK_ROWS or more while the device moved.  A fix can have several
     reasons, each once.  Nulls are no case; a fix without a session can only be `impossible`; copies
     of a key count once; rows without a key are left out; an empty table gives no rows.  Runs of equal
@@ -265,20 +323,19 @@ def implausible_fixes(gps: DataFrame, chunk_rows: int = 8192, halo: int = 512) -
     each = seen.where("own")
     there = lambda c: F.when(~F.isnan(c), c)
     size = lambda c: there(F.abs(c))
-    step = [there(F.get("steps", F.lit(i))) for i in range(2 * len(_KINDS))]
+    step = [there(F.get("steps", F.lit(i))) for i in range(2 * len(_LOCAL))]
     usual = each.groupBy("source").agg(
         *[F.percentile_approx(F.when(F.col(c) > 0, F.col(c)) if c in ("ax", "ay") else size(F.col(c)), 0.5, 10_000).alias(f"u_{c}") for c in _KINDS], *[F.count(there(F.col(c))).alias(f"n_{c}") for c in _KINDS],
         F.array(*[F.coalesce(F.percentile_approx(v, 0.5, 1000).cast("double"), F.lit(0.0)) for v in step]).alias("u_steps"),
     )
-    # of each reading: 0 none, 1 one, 2 one of TIMES_USUAL times the usual or more; of position and altitude, fewer than LEAST_FIXES say nothing of what is usual
-    level = lambda c: F.when(size(F.col(c)).isNull(), 0).when((size(F.col(c)) > 0) & (size(F.col(c)) >= TIMES_USUAL * F.col(f"u_{c}")) & (F.col(f"n_{c}") >= (1 if c in ("ax", "ay") else LEAST_FIXES)), 2).otherwise(1)
-    # residuals as parts of the first semi-axis, and the other two semi-axes as parts of it; where the usual residual is 0, any other is outside
-    axis = {c: F.greatest(1.4826 * F.least(F.lit(WIDEST), F.sqrt(2 * F.log(F.greatest(F.col(f"n_{c}"), F.lit(2))))) * F.col(f"u_{c}"), F.lit(1e-12)) for c in _KINDS}
-    part = lambda c, kind, less=None: F.coalesce((there(F.col(c)) - (F.lit(0.0) if less is None else less)) / axis[kind], F.lit(0.0)).cast("float").alias(c)
-    ratio = lambda i: F.coalesce(F.get("u_steps", F.lit(i)) / F.greatest(F.col(f"u_{_KINDS[i // 2]}"), F.lit(1e-12)), F.lit(0.0)).cast("float")
+    # of each accuracy: 0 none, 1 one, 2 one of TIMES_USUAL times the usual or more
+    level = lambda c: F.when(size(F.col(c)).isNull(), 0).when(size(F.col(c)) >= TIMES_USUAL * F.col(f"u_{c}"), 2).otherwise(1)
+    # of positions and altitudes: how far off is a spike, which fewer than LEAST_FIXES do not tell, and the semi-axes; where the usual residual is 0, any other is outside
+    limit = lambda c: F.when(F.col(f"n_{c}") >= LEAST_FIXES, TIMES_USUAL * F.col(f"u_{c}")).otherwise(F.lit(float("inf")))
+    axes = lambda i, c: [1.4826 * F.least(F.lit(WIDEST), F.sqrt(2 * F.log(F.greatest(F.col(f"n_{c}"), F.lit(2))))) * F.coalesce(u, F.lit(0.0)) for u in (F.col(f"u_{c}"), F.get("u_steps", F.lit(2 * i)), F.get("u_steps", F.lit(2 * i + 1)))]
     levels = seen.join(usual, "source").select(
-        "source", "chunk", "gps_id", "own", sum(level(c) * 3**i for i, c in enumerate(_KINDS)).cast("int").alias("levels"), part("re", "pos"), part("im", "pos"), part("alt", "alt"), part("ax", "ax", F.col("u_ax")), part("ay", "ay", F.col("u_ay")),
-        F.array(*[ratio(i) for i in range(2 * len(_KINDS))]).alias("ratios"),
+        "source", "chunk", "gps_id", "own", "east", "north", "high", sum(level(c) * 3**i for i, c in enumerate(_SESSION_WIDE)).cast("int").alias("levels"),
+        F.array(*[v for i, c in enumerate(_LOCAL) for v in (limit(c), *axes(i, c))]).alias("scales"),
     )
     spikes = levels.groupBy("source", "chunk").applyInPandas(_chunk_spikes, "gps_id bigint")
     impossible = flat.where("impossible").select("gps_id", F.lit("impossible").alias("reason")).distinct()

@@ -155,6 +155,33 @@ def test_a_spike_in_a_chunk_noisier_than_its_session_is_found(spark):
     assert 11_300 in got
 
 
+@pytest.mark.parametrize("chunk", [8192, 120])
+def test_spikes_close_together_neither_hide_each_other_nor_what_is_between(spark, chunk):
+    rows = walk(600, 1, 10_000, 11)
+    by = {r[0]: r for r in rows}
+    want = [10_000 + k for k in range(7) if k != 3] + [10_200 + k for k in range(11) if k % 4 < 3] + [10_400 + k for k in range(24) if k % 3 < 2] + [10_593 + k for k in range(7) if k != 3]
+    for k in want:
+        by[k][3][2 if 10_400 <= k < 10_500 else 0] += 40 if 10_400 <= k < 10_500 else 0.001
+    for k in (*range(10_300, 10_305), *range(10_308, 10_313)):
+        by[k][3][1] += 0.001  # too long to be spikes, and the three between are where they should be
+    got = spikes.implausible_fixes(spark.createDataFrame(rows, GPS)).collect() if chunk > 1000 else _small_chunks(spark, rows, chunk)
+    assert sorted(tuple(r) for r in got) == [(k, "spike") for k in want]
+
+
+def test_residuals_at_steps_and_slow_changes():
+    v = np.random.default_rng(3).normal(0, 0.1, 600)
+    usual, axes = np.median(np.abs(v)), (0.8, 0.4, 0.4)
+    for slope in (0.0, 0.05, 0.15, 0.5):
+        for n in (8, 12, 60, 400):  # a step there and, but for the last, back
+            x = v + slope * np.arange(600)
+            x[200 : 200 + n] += 100
+            over = np.abs(spikes.settled_residuals(x, axes)) >= 10 * usual
+            assert not spikes.short_runs(np.ones(len(over), bool), over).any()
+    out = np.zeros(600, bool)
+    out[100 : 100 + spikes.LONGEST_BURST + 1] = out[: spikes.WINDOW + 1] = True
+    assert np.array_equal(spikes.residuals_without(v, out), v - spikes.local_median(v))
+
+
 def test_spikes_empty(spark):
     assert spikes.implausible_fixes(spark.createDataFrame([], GPS)).collect() == []
 
