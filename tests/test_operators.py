@@ -51,6 +51,29 @@ def test_range_join_tries_equal_rectangles_once(spark):
     assert [x.b for x in spatial_rows.collect()] == [0, 1, 2]
 
 
+def test_range_join_shuffles_rows_and_no_pairs(spark):
+    """100,000 squares of ten places that each touch 200 others: the 20,000,000 pairs are not shuffled."""
+    box = lambda n, x: [c.alias(m) for m, c in zip(n, (x, x, x + 1, x + 1))]
+    l = spark.range(0, 100_000, 1, 4).select(F.col("id").alias("a"), *box(("lx", "lz", "ux", "uz"), F.col("id") % 10 / 100))  # noqa: E741
+    r = spark.range(0, 200, 1, 4).select(F.col("id").alias("b"), *box(("bx", "bz", "cx", "cz"), F.col("id") / 1000))
+    store = spark._jsc.sc().statusStore()
+    written = lambda: store.executorSummary("driver").totalShuffleWrite()
+    rects = Rect.named(), Rect(F.col("bx"), F.col("bz"), F.col("cx"), F.col("cz"))
+    join = spatial.range_join(l, r, *rects, 4.0)
+    assert join.columns == l.columns + r.columns
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual, before = spark.conf.get(key), written()
+    spark.conf.set(key, "-1")  # as for tables that are large
+    try:
+        got = join.agg(F.count("*"), F.sum("a"), F.sum("b"), F.max("cx") - F.max("ux")).first()
+    finally:
+        spark.conf.set(key, usual)
+    assert tuple(got) == (20_000_000, 200 * 4_999_950_000, 100_000 * 19_900, pytest.approx(0.199 - 0.09))
+    assert written() - before < 10_000_000  # bytes; 254 million when pairs were
+    some = spatial.range_join(l, r.where("b < 2"), *rects, 4.0, "a", "b")
+    assert some.columns == ["a", "b"] and tuple(some.agg(F.count("*"), F.sum("a"), F.sum("b")).first()) == (200_000, 2 * 4_999_950_000, 100_000)
+
+
 def test_edits_of_rows(regions, spark):
     new = spark.createDataFrame([(0, 1.0), (50, 2.0), (None, 3.0)], "id bigint, lx double")
     assert ids(spatial.insert(regions.select("id", "lx"), new, order="lx")) == [1, 2, 3, 4, 5, 6, 7, 8, 50, 51, 52]
