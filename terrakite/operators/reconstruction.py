@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrakite.functions import se3
 from terrakite.operators.aggregates import camera_bounds
 from terrakite.plans.stage import staged
+from terrakite.sources.session import image_name
 
 BOX_MARGIN, BOX_FLOOR = 0.2, 3.0
 
@@ -73,8 +74,7 @@ def exported_landmarks(points: DataFrame, poses: DataFrame, descriptors: DataFra
 
 def frame_poses(frames: DataFrame, images: DataFrame) -> DataFrame:
     """Frames with `pose`: that of the image with id = frame id + 1 and the frame's name, if it has one, else the device's.  `images`: image_id, name, qw..tz."""
-    name = F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("_image.jpeg"))
     im = images.select((F.col("image_id") - 1).cast("long").alias("id"), F.col("name").alias("_name"), se3.sfm_pose(*(F.col(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz"))).alias("_pose"), F.col("qw").isNotNull().alias("_there"))
     j = frames.join(im, "id", "left")
-    hit = F.coalesce(F.col("_there") & (F.col("_name") == name), F.lit(False))
+    hit = F.coalesce(F.col("_there") & (F.col("_name") == image_name(F.col("id"))), F.lit(False))
     return j.withColumn("pose", F.when(hit, F.col("_pose")).otherwise(F.col("extrinsics"))).drop("_name", "_pose", "_there")

@@ -190,11 +190,11 @@ def missing_pairs(spark, d):
     return sfm_sqlite.missing_pairs(f, stored).select("pair_id", "first", "second")
 
 
-@query("SELECT CAST(frame_id + 1 AS INT) AS image_id, lpad(CAST(frame_id AS VARCHAR), 8, '0') || '_image.jpeg' AS name FROM fx_frames WHERE frame_id < 100000000")
+@query("SELECT CAST(frame_id + 1 AS INT) AS image_id, lpad(CAST(frame_id AS VARCHAR), greatest(8, CAST(length(CAST(frame_id AS VARCHAR)) AS INT)), '0') || '_image.jpeg' AS name FROM fx_frames")
 def model_database(spark, d):
     path = "/" + _folder(spark, ".db").removeprefix("file:").lstrip("/")
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    f = _turned(spark, d).where("frame_id < 100000000").select(F.col("frame_id").alias("id"), F.array(*[F.lit(float(i)) for i in range(9)]).alias("intrinsics"), F.col("pose").alias("extrinsics"))
+    f = _turned(spark, d).select(F.col("frame_id").alias("id"), F.array(*[F.lit(float(i)) for i in range(9)]).alias("intrinsics"), F.col("pose").alias("extrinsics"))
     sfm_sqlite.create_database(f, path)
     return sfm_sqlite.read_database(spark, path)[0].select("image_id", "name")
 

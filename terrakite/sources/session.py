@@ -26,8 +26,14 @@ class Session:
 
 
 def file_prefix(frame_id: Column) -> Column:
-    """Eight digits and an underscore: the start of the names of a frame's pictures."""
-    return F.concat(F.lpad(frame_id.cast("string"), 8, "0"), F.lit("_"))
+    """The id in eight digits, or in all it has, and an underscore: the start of the names of a frame's pictures."""
+    digits = frame_id.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0")), F.lit("_"))
+
+
+def image_name(frame_id: Column) -> Column:
+    """The name of a frame's image in models and their database."""
+    return F.concat(file_prefix(frame_id), F.lit("image.jpeg"))
 
 
 def decode_landmark(desc: Column) -> Column:

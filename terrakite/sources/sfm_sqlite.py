@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrakite.functions import camera
 from terrakite.sources.schema import DESCRIPTOR_BYTES
+from terrakite.sources.session import image_name
 
 _SCHEMAS = {
     "images": "image_id int, name string, positioned boolean",
@@ -111,7 +112,7 @@ def database_rows(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = lambda n: F.get("extrinsics", F.lit(n))
     key = F.col("id") + 1
     cameras = frames.select(key.alias("camera_id"), F.lit(PINHOLE).alias("model"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), i(0).alias("fx"), i(4).alias("fy"), i(6).alias("cx"), i(7).alias("cy"))
-    images = frames.select(key.alias("image_id"), F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("_image.jpeg")).alias("name"), key.alias("camera_id"))
+    images = frames.select(key.alias("image_id"), image_name(F.col("id")).alias("name"), key.alias("camera_id"))
     priors = frames.select(key.alias("image_id"), e(12).alias("x"), e(13).alias("y"), e(14).alias("z"), F.array(*[F.lit(PRIOR_VARIANCE if a == b else 0.0) for a in range(3) for b in range(3)]).alias("covariance"))
     return cameras, images, priors
 

@@ -63,7 +63,7 @@ def affine_to_scale(a11, a12, a21, a22):
 def reference_lines(frames: DataFrame) -> DataFrame:
     """(value): `name X Y Z` of every frame with Y and Z negated, ten decimals."""
     from terrakite.functions import se3
+    from terrakite.sources.session import image_name
 
     x, y, z = se3.position(F.col("extrinsics"))
-    name = F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("_image.jpeg"))
-    return frames.select(F.format_string("%s %.10f %.10f %.10f", name, x, -y, -z).alias("value"))
+    return frames.select(F.format_string("%s %.10f %.10f %.10f", image_name(F.col("id")), x, -y, -z).alias("value"))

@@ -4,11 +4,13 @@ import json
 import sqlite3
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrakite.operators import reconstruction
+from terrakite.plans.queries import QUERIES, SQL
 from terrakite.sources import graph_text, session, sfm_sqlite, sfm_text
 
 EYE = np.eye(4).ravel(order="F").tolist()
@@ -139,6 +141,27 @@ def test_a_database_of_sparse_ids_is_read_in_few_partitions(spark, tmp_path):
         assert db.execute("SELECT position, position_covariance FROM pose_priors WHERE image_id = 7001").fetchone() == (struct.pack("<3d", 7.5, 7.5, 7.5), struct.pack("<9d", 10, 0, 0, 0, 10, 0, 0, 0, 10))
 
 
+def test_names_of_long_ids_keep_their_digits(spark, tmp_path):
+    """Ids of more than eight digits lost their last ones, so that 100000000 and 100000001 had one name."""
+    path, want = str(tmp_path / "long.db"), {7: "00000007", 99_999_999: "99999999", 100_000_000: "100000000", 100_000_001: "100000001", 2_147_483_646: "2147483646"}
+    frames = spark.createDataFrame([(i, [1.0] * 9, EYE) for i in want], "id bigint, intrinsics array<double>, extrinsics array<double>")
+    sfm_sqlite.create_database(frames, path)
+    images = sfm_sqlite.read_database(spark, path)[0]
+    assert {r.image_id - 1: r.name for r in images.collect()} == {i: f"{n}_image.jpeg" for i, n in want.items()}
+    assert sorted(r.value.split()[0] for r in sfm_text.reference_lines(frames).collect()) == sorted(f"{n}_image.jpeg" for n in want.values())
+    posed = images.select("image_id", "name", *[F.lit(v).alias(c) for c, v in zip(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), (1.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0))])
+    assert [abs(r.pose[12]) for r in reconstruction.frame_poses(frames, posed).collect()] == [3.0] * 5
+
+
+def test_model_database_has_every_frame(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + 99_999_000).write.parquet(str(tmp_path / "orders.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        want = db.execute(SQL["model_database"]).fetchall()
+        assert len(want) == db.execute("SELECT count(*) FROM orders").fetchone()[0] > db.execute("SELECT count(*) FROM orders WHERE o_orderkey < 100000000").fetchone()[0]
+    assert sorted(map(tuple, QUERIES["model_database"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_text_lines(spark):
     f = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0, 4.0, bytes(range(128))), (1, 1, 1.5, 2.0, 3.0, 4.0, b"short")], "image_id int, idx int, x double, y double, scale double, orientation double, desc binary")
     lines = sfm_text.feature_lines(f).first().lines
